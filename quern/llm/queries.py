@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quern.llm.langid import predict, train
 from quern.llm.line_dedup import drop_boilerplate
 from quern.llm.minhash_forest import near_duplicates
 from quern.llm.mixing import mix
+from quern.llm.sentencepiece_codec import decode, encode
+from quern.llm.shared import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +21,21 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file, which every executor has at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    rows = encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    rows = decode(rows, path)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(_read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -48,6 +67,13 @@ FROM documents d LEFT JOIN agg a USING (doc_id)
 """
 
 
+def op8_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    filters = train(docs.where(~held_out))
+    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=5, percent=85)
 
@@ -71,8 +97,10 @@ FROM documents d JOIN comp c ON c.id = d.doc_id LEFT JOIN sizes s ON s.doc_id =
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_mix_sources": op3_mix_sources,
     "op6_line_dedup": op6_line_dedup,
+    "op8_language_filters": op8_language_filters,
     "op9_minhash_forest": op9_minhash_forest,
 }
 SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op9_minhash_forest": OP9_SQL}
