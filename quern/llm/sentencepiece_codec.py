@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,12 +241,9 @@ def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids", to: str =
     """``rows`` with the text of ``ids_col`` in ``to``; null ids give a null text."""
 
     @F.pandas_udf("string")
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(PieceModel.read(model_path))
         for ids in batches:
             yield pd.Series([None if x is None else codec.decode(x) for x in ids], dtype=object)
 
-    run.__annotations__ = {}
     return rows.withColumn(to, run(F.col(ids_col)))
