@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.batch_merge import BatchMerger
 from quern.llm.piece_model import BYTE, CONTROL, INVALID, SPACE, UNKNOWN, UNUSED, USER_DEFINED, Normalizer, PieceModel
 
 #: A worker remembers so many chunks of up to REMEMBERED_LENGTH characters, then starts anew.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+_NEVER = float("inf")
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -37,7 +40,12 @@ class Codec:
         #: whether the text may be copied as it is, spaces marked
         self.plain = self.normalize.map is None and not self.fixed and model.dummy_prefix and not model.remove_extra_spaces and model.escape_spaces and not model.space_as_suffix
         self.chunked = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self._known: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self._known: dict[str, bytes] = {}
+        self._batch: BatchMerger | None = None
+        self._cost = {p: -model.scores[i] for p, i in self.ids.items()}
+        #: bytes of each piece in the normalised text
+        self._sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(model.pieces, model.kinds)], np.int32)
+        self._is_byte = np.array([k == BYTE for k in model.kinds])
         raw = [b"" if k == CONTROL else bytes((int(p[3:5], 16),)) if k == BYTE else (model.unk_surface if k == UNKNOWN else p.replace(SPACE, " ")).encode() for p, k in zip(model.pieces, model.kinds)]
         self._raw = raw
         self._leads = [p.startswith(SPACE) and k not in (CONTROL, BYTE, UNKNOWN) for p, k in zip(model.pieces, model.kinds)]
@@ -57,6 +65,26 @@ class Codec:
 
     def merge(self, chunk: str) -> list[str]:
         """Pieces of a chunk: the best-scored neighbours join first, of equal ones the leftmost."""
+        if len(chunk) > 100 or self.fixed or self.unused:
+            return self._merge_long(chunk)
+        cost = self._cost.get
+        symbols = list(chunk)
+        costs = [cost(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
+        while costs:
+            best = min(costs)
+            if best == _NEVER:
+                break
+            k = costs.index(best)
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del costs[k]
+            if k < len(costs):
+                costs[k] = cost(symbols[k] + symbols[k + 1], _NEVER)
+            if k:
+                costs[k - 1] = cost(symbols[k - 1] + symbols[k], _NEVER)
+        return symbols
+
+    def _merge_long(self, chunk: str) -> list[str]:
+        """The same with a heap, for long chunks and for pieces of the rarer kinds."""
         ids, scores = self.ids, self.model.scores
         symbols = self._symbols(chunk)
         n = len(symbols)
@@ -103,34 +131,48 @@ class Codec:
                 split(s)
         return out
 
-    def _encode_chunk(self, chunk: str) -> tuple[bytes, bytes, bytes]:
-        """ids, bytes of each piece in the normalised text, and bytes in a plain source (int32)."""
+    def _encode_chunk(self, chunk: str) -> tuple[list[int], list[int]]:
+        """ids, and the bytes of each piece in the normalised text."""
         ids: list[int] = []
         sizes: list[int] = []
         for piece in self.merge(chunk):
             at = self.ids.get(piece)
-            data = piece.encode()
-            if at is not None:
-                ids.append(at)
-                sizes.append(len(data))
-            elif self.model.byte_fallback:
-                # the piece's whole width goes to its last byte: bytes of one character share a span
+            if at is None and self.model.byte_fallback:
+                data = piece.encode()
                 ids += [self.byte_ids[b] for b in data]
-                sizes += [0] * (len(data) - 1) + [len(data)]
+                sizes += [1] * len(data)
             else:
-                ids.append(self.model.unk_id)
-                sizes.append(len(data))
-        return np.array(ids, np.int32).tobytes(), np.array(sizes, np.int32).tobytes(), b""
-
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes, bytes]:
-        known = self._known.get(chunk)
-        if known is None:
-            known = self._encode_chunk(chunk)
-            if len(chunk) <= REMEMBERED_LENGTH:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[chunk] = known
-        return known
+                ids.append(self.model.unk_id if at is None else at)
+                sizes.append(len(piece.encode()))
+        return ids, sizes
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk (int32), remembered if it is short."""
+        found = np.array(self._encode_chunk(chunk)[0], np.int32).tobytes()
+        if len(chunk) <= REMEMBERED_LENGTH:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            self._known[chunk] = found
+        return found
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Encodes the chunks of these texts that are not known yet, all at once."""
+        if not (self.plain and self.chunked and self.model.byte_fallback) or self.unused:
+            return
+        chunks: set[str] = set()
+        for text in texts:
+            if text:
+                chunks.update(_CHUNK.findall(SPACE + text.replace(" ", SPACE)))
+        new = [c for c in chunks if c not in self._known and len(c) <= REMEMBERED_LENGTH]
+        if not new:
+            return
+        if len(self._known) + len(new) > REMEMBERED:
+            self._known.clear()
+        if self._batch is None:
+            self._batch = BatchMerger(self.ids, self._cost, self.byte_ids)
+        for chunk, ids in zip(new, self._batch.merge(new)):
+            if ids is not None:
+                self._known[chunk] = ids
 
     def encode(self, text: str | None, eos: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends): each piece's span of bytes of the UTF-8 source.
@@ -149,16 +191,18 @@ class Codec:
                 normal, at = self.normalize(text)
                 places = np.array(at, np.int64)
             chunks = _CHUNK.findall(normal) if self.chunked else [normal]
-            known = self._known
-            parts = [known.get(c) or self._chunk(c) for c in chunks]
-            ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
-            sizes = np.frombuffer(b"".join([p[1] for p in parts]), np.int32)
+            if self.model.byte_fallback:
+                known = self._known.get
+                ids = np.frombuffer(b"".join([known(c) or self._chunk(c) for c in chunks]), np.int32)
+                sizes = self._sizes[ids]
+            else:  # the width of an unknown piece is not in its id
+                found = [self._encode_chunk(c) for c in chunks]
+                ids, sizes = (np.array([x for f in found for x in f[k]], np.int32) for k in (0, 1))
             ends_n = np.cumsum(sizes, dtype=np.int64)
             starts_n = ends_n - sizes
-            if sizes.size and not sizes.all():  # bytes of one character: all take the span of the last
-                last = np.flatnonzero(sizes)
-                owner = last[np.searchsorted(last, np.arange(sizes.size))]
-                starts_n, ends_n = starts_n[owner], ends_n[owner]
+            single = self._is_byte[ids]
+            if single.any():  # the bytes of one character all have its span
+                starts_n, ends_n = self._whole(normal, single, starts_n, ends_n)
             if not self.model.byte_fallback and ids.size > 1:  # neighbours without a piece are one
                 unk = ids == self.model.unk_id
                 first = np.concatenate(([True], ~(unk[1:] & unk[:-1])))
@@ -171,6 +215,14 @@ class Codec:
             starts, ends = np.append(starts, total), np.append(ends, total)
         return ids, starts, ends
 
+    def _whole(self, normal: str, single: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(normal.encode(), np.uint8)
+        leads = np.append(np.flatnonzero((data & 0xC0) != 0x80), data.size)  # where characters start
+        k = np.searchsorted(leads, starts[single], "right")
+        starts, ends = starts.copy(), ends.copy()
+        starts[single], ends[single] = leads[k - 1], leads[k]
+        return starts, ends
+
     # -- decoding
 
     def decode(self, ids) -> str:
@@ -204,6 +256,12 @@ def _lenient(raw: bytes) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """One codec for each worker process and model: what it remembers outlives a task."""
+    return Codec(PieceModel.read(path))
+
+
 def _plain_places(text: str) -> np.ndarray:
     """For each byte of the marked text, and its end, the source byte: a space takes three."""
     data = np.frombuffer(text.encode(), np.uint8)
@@ -219,11 +277,13 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", eos: boo
     an empty result.  ``model_path`` is a file that every executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(PieceModel.read(model_path))
+        codec = codec_of(model_path)
         for batch in batches:
             texts = batch.column(0)
             for at in range(0, len(texts), 500):  # arrays are longer than texts: small batches
-                found = [codec.encode(t, eos) for t in texts.slice(at, 500).to_pylist()]
+                some = texts.slice(at, 500).to_pylist()
+                codec.learn(some)
+                found = [codec.encode(t, eos) for t in some]
                 n = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
                 flat = [np.concatenate([x[k] for x in found]) for k in range(3)]
                 rest = [c.slice(at, 500) for c in batch.columns[1:]]
@@ -242,7 +302,7 @@ def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids", to: str =
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(PieceModel.read(model_path))
+        codec = codec_of(model_path)
         for ids in batches:
             yield pd.Series([None if x is None else codec.decode(x) for x in ids], dtype=object)
 

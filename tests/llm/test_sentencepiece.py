@@ -100,3 +100,12 @@ def test_invalid_bytes_decode_like_the_library():
         ids = [rng.randrange(3, 259) if rng.random() < 0.6 else rng.randrange(259, 32000) for _ in range(rng.randrange(0, 12))]
         assert own.decode(ids) == lib.decode(ids), ids
     assert own.encode(None)[0].tolist() == [2]
+
+
+def test_batched_merges_agree_with_single_ones():
+    one, many = Codec(PieceModel.read(PATH)), Codec(PieceModel.read(PATH))
+    texts = TEXTS + _random_texts(500, 21)
+    many.learn(texts)
+    assert len(many._known) > 500
+    for chunk, ids in many._known.items():
+        assert one._chunk(chunk) == ids, chunk
