@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import merge, relabel
-from quern.llm.shared import Workspace, shingle_sets, text_bytes
+from quern.llm.shared import BROADCAST_ROWS, Workspace, shingle_sets, text_bytes
 
 TREES, DEPTH, WINDOW, LEAST_PREFIX = 16, 8, 2, 2
 _VALUE = 4  # bytes
+#: So many ids, 8 bytes each, are sent to the texts at most.
+BROADCAST_IDS = 1_000_000
 
 
 def _multipliers(k: int, seed: int = 71) -> np.ndarray:
@@ -135,7 +137,13 @@ def candidates(ws: Workspace, classes: DataFrame, *, trees: int, depth: int, win
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ...) whose sets have 100 * intersection >= percent * union."""
+    """The written pairs (a, b, ...) whose sets have 100 * intersection >= percent * union.
+
+    Few pairs (counted) are sent to the sets, which then move only if a pair needs them."""
+    n = pairs.count()
+    if n <= BROADCAST_ROWS:
+        needed = F.broadcast(pairs.select(F.col("ea").alias("id")).union(pairs.select("eb")).distinct())
+        sets, pairs = sets.join(needed, "id", "left_semi"), F.broadcast(pairs)
     sa, sb = sets.select(F.col("id").alias("ida"), F.col("hashes").alias("ha")), sets.select(F.col("id").alias("idb"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     either = F.size("ha") + F.size("hb") - both
@@ -165,7 +173,8 @@ def near_duplicates(
     classes = ws.table(linked.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("marks").alias("marks")), "classes")
     pairs = candidates(ws, classes.select("id", "n", "marks"), trees=trees, depth=depth, window=window, least_prefix=least_prefix, ratio=ratio)
 
-    near = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    near = ws.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
+    near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near  # above it the texts are shuffled once
     sets = ws.table(rows.join(near, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, hashes array<long>"), "sets")
 
     # each pair once with the ends' components (a > b) and the sets to compare (ea, eb)
@@ -177,6 +186,7 @@ def near_duplicates(
             picked = open_.groupBy("a").agg(least).select("a", "m.b", "m.ea", "m.eb")
         else:
             picked = open_
+        picked = ws.table(picked, "picked")
         links = ws.table(_confirm(picked, sets, percent).select("a", "b"), "confirmed")
         if turn < 2:
             before = comps
