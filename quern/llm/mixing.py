@@ -58,29 +58,30 @@ def _uniform(*cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def _meet(a: Column, b: Column, seed: int) -> Column:
-    """struct(settled, rest): the two rows after mass has passed between them."""
-
-    def passed(t: Column) -> Column:
-        a_up = t["u"] * (t["up"] + t["down"]) < t["down"]  # a gains "up" with chance down / (up + down)
-        a_first = F.when(a_up, t["a_room"] <= t["b_mass"]).otherwise(t["a_mass"] <= t["b_room"])  # whether a is the one that gets whole
-        to = lambda x, p: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["mult"].alias("mult"), x["mass"].alias("mass"), p.alias("p"))
-        clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-        one, zero = F.lit(1.0), F.lit(0.0)
-        return F.when(
-            a_first,
-            F.struct(to(a, F.when(a_up, one).otherwise(zero)).alias("settled"), to(b, clip(F.when(a_up, b["p"] - t["up"] / b["mass"]).otherwise(b["p"] + t["down"] / b["mass"]))).alias("rest")),
-        ).otherwise(
-            F.struct(to(b, F.when(a_up, zero).otherwise(one)).alias("settled"), to(a, clip(F.when(a_up, a["p"] + t["up"] / a["mass"]).otherwise(a["p"] - t["down"] / a["mass"]))).alias("rest")),
-        )
-
-    a_room, a_mass, b_room, b_mass = (1 - a["p"]) * a["mass"], a["p"] * a["mass"], (1 - b["p"]) * b["mass"], b["p"] * b["mass"]
-    t = F.struct(
-        a_room.alias("a_room"), a_mass.alias("a_mass"), b_room.alias("b_room"), b_mass.alias("b_mass"),
-        F.least(a_room, b_mass).alias("up"), F.least(a_mass, b_room).alias("down"),
-        _uniform(a["id"], a["size"], b["id"], b["size"], F.lit(seed)).alias("u"),
-    )
-    return F.transform(F.array(t), passed)[0]  # the array binds t once
+def _take(acc: Column, b: Column, seed: int) -> Column:
+    """The state (settled, rest) of a block after its rest has met the unit ``b``.
+
+    The rest a gains ``up`` words from b with chance down / (up + down), else loses ``down`` to
+    it: words in expectation stay, and one of the two gets whole or empty."""
+    a = acc["rest"]
+    a_in, a_room, b_in, b_room = a["p"] * a["mass"], (1 - a["p"]) * a["mass"], b["p"] * b["mass"], (1 - b["p"]) * b["mass"]
+    up, down = F.least(a_room, b_in), F.least(a_in, b_room)
+    gains = _uniform(a["id"], a["size"], b["id"], b["size"], F.lit(seed)) * (up + down) < down
+    moved = F.struct(
+        F.when(gains, up).otherwise(-down).alias("words"),
+        F.when(gains, a_room <= b_in).otherwise(a_in <= b_room).alias("a_settles"),
+    )
+
+    def after(m: Column) -> Column:
+        pair = F.array(_unit(a, a["p"] + m["words"] / a["mass"]), _unit(b, b["p"] - m["words"] / b["mass"]))
+        first = F.when(m["a_settles"], 0).otherwise(1)
+        return F.struct(F.concat(acc["settled"], F.array(pair[first])).alias("settled"), pair[1 - first].alias("rest"))
+
+    return F.transform(F.array(moved), after)[0]  # the array binds what has moved once
+
+
+def _unit(x: Column, p: Column) -> Column:
+    return F.struct(x["id"].alias("id"), x["size"].alias("size"), x["mult"].alias("mult"), x["mass"].alias("mass"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)).alias("p"))
 
 
 def _blocks(rows: DataFrame, level: int, block: int, seed: int) -> DataFrame:
@@ -91,13 +92,9 @@ def _blocks(rows: DataFrame, level: int, block: int, seed: int) -> DataFrame:
         "source", "n", F.pmod(F.xxhash64(unit["id"], unit["size"], F.lit(seed + level)), count).alias("block")
     ).agg(F.sort_array(F.collect_list("unit")).alias("units"))
 
-    def take(acc: Column, x: Column) -> Column:
-        pair = F.transform(F.array(_meet(acc["rest"], x, seed + level)), lambda m: F.struct(F.concat(acc["settled"], F.array(m["settled"])).alias("settled"), m["rest"].alias("rest")))
-        return pair[0]
-
     first = F.col("units")[0]
     none = F.filter(F.col("units"), lambda x: F.lit(False))
-    folded = F.aggregate(F.slice("units", 2, F.size("units")), F.struct(none.alias("settled"), first.alias("rest")), take)
+    folded = F.aggregate(F.slice("units", 2, F.size("units")), F.struct(none.alias("settled"), first.alias("rest")), lambda acc, x: _take(acc, x, seed + level))
     return met.select("source", "n", folded.alias("f")).select("source", "n", "f.settled", "f.rest")
 
 
@@ -134,7 +131,7 @@ def mix(
     rows = sized
     for level in range(1, levels + 1):
         done = ws.table(_blocks(rows, level, block, seed), f"level{level}")
-        settled.append(done.select("source", F.explode("settled").alias("x")).select("source", "x.id", "x.size", "x.mult", F.col("x.p").cast("int").alias("up")))
+        settled.append(done.select("source", F.explode("settled").alias("x")).select("source", "x.id", "x.size", "x.mult", F.round("x.p").cast("int").alias("up")))
         rows = done.select("source", "n", F.col("rest").alias("unit"))
     last = rows.select("source", "unit.id", "unit.size", "unit.mult", (_uniform("unit.id", "unit.size", F.lit(seed + 99)) < F.col("unit.p")).cast("int").alias("up"))
     decided = empty
