@@ -1,10 +1,9 @@
 """Embedding near-dedup with a pivot-permutation index.
 
 Pivots are reference vectors drawn from the data.  A vector is described by its ``order`` nearest
-pivots, nearest first.  Inverted lists keyed by the two nearest of them, in either order of a
-vector's first ``keys`` pairs, hold the vectors; two vectors that meet in a list are candidates if
-their descriptions share at least ``share`` pivots, and candidates are verified by the cosine in
-double precision.
+pivots, nearest first.  The inverted list of a pivot holds the vectors that have it among their
+``keys`` nearest; two vectors that meet in a list are candidates if their descriptions share at
+least ``share`` pivots, and candidates are verified by the cosine in double precision.
 
 Equal vectors are one class and are counted, not paired.  A list is read in blocks against
 blocks, so no task holds more than two blocks, however long the list; a pair that meets in
@@ -28,10 +27,10 @@ from quern.llm.vectors import stack, unit, usable
 
 #: One pivot for about so many vectors, within the bounds: the pivots are broadcast, 8 bytes a
 #: component.  Beyond the upper bound lists grow with the data and are read in more blocks.
-ROWS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 24, 64, 4096
-ORDER, SHARE, BLOCK = 8, 4, 1024
-#: A vector enters the lists of all pairs among its so many nearest pivots.
-NEAR = 4
+ROWS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 24, 64, 16_384
+ORDER, SHARE, BLOCK = 8, 3, 1024
+#: A vector enters the lists of its so many nearest pivots.
+NEAR = 6
 
 
 def _describe(pivots: np.ndarray, order: int):
@@ -50,16 +49,6 @@ def _describe(pivots: np.ndarray, order: int):
     return run
 
 
-def _lists(near: np.ndarray, keys: int) -> np.ndarray:
-    """The list numbers of each vector: unordered pairs among its ``keys`` nearest pivots."""
-    k = min(keys, near.shape[1])
-    if k == 1:
-        return near[:, :1].astype(np.int64)
-    i, j = np.triu_indices(k, 1)
-    a, b = near[:, i].astype(np.int64), near[:, j].astype(np.int64)
-    return np.minimum(a, b) << 20 | np.maximum(a, b)
-
-
 def _pairs(a: dict, b: dict, same: bool, own: int, threshold: float, share: int, keys: int):
     """Verified pairs (i, j) of two blocks of a list: shared pivots first, then the cosine."""
     flat = np.concatenate([a["near"].ravel(), b["near"].ravel()])
@@ -79,7 +68,7 @@ def _pairs(a: dict, b: dict, same: bool, own: int, threshold: float, share: int,
         keep[at : at + (1 << 18)] = np.einsum("ij,ij->i", a["v"][p], b["v"][q]) >= threshold
     i, j = i[keep], j[keep]
     la, lb = a["lists"][i], b["lists"][j]
-    both = np.where((la[:, :, None] == lb[:, None, :]).any(2), la, np.int64(1 << 62)).min(1)
+    both = np.where((la[:, :, None] == lb[:, None, :]).any(2), la, np.int32(2**31 - 1)).min(1)
     first = both == own  # the pair is counted in the first list they share
     return i[first], j[first]
 
@@ -95,7 +84,7 @@ def _verify(threshold: float, share: int, keys: int):
         for p in {left, right}:
             t = table.filter(pa.array(part == p)).combine_chunks()
             near = stack(t["near"].combine_chunks()).astype(np.int32)
-            sides[p] = {"id": t["id"].to_numpy(), "copies": t["copies"].to_numpy(), "v": unit(stack(t["v"].combine_chunks())), "near": near, "lists": _lists(near, keys)}
+            sides[p] = {"id": t["id"].to_numpy(), "copies": t["copies"].to_numpy(), "v": unit(stack(t["v"].combine_chunks())), "near": near, "lists": near[:, :keys]}
         a, b = sides[left], sides[right]
         i, j = _pairs(a, b, left == right, own, threshold, share, keys)
         ids = np.concatenate([a["id"][i], b["id"][j]])
@@ -146,13 +135,10 @@ def near_duplicates(
     sample = classes.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(m).select("v").toPandas()["v"]
     pivots = unit(np.array(sample.tolist(), np.float64))
 
-    schema = "id long, v array<double>, copies long, near array<int>"
+    schema = f"id long, v {classes.schema['v'].dataType.simpleString()}, copies long, near array<int>"
     described = ws.table(classes.mapInArrow(_describe(pivots, order), schema), "described")
     # list members, each list dealt into blocks by hash, each block met with itself and those after it
-    k = min(keys, order, m)
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)] or [(0, 0)]
-    number = lambda i, j: F.least(F.col("near")[i], F.col("near")[j]).cast("long") * (1 << 20) + F.greatest(F.col("near")[i], F.col("near")[j]) if i != j else F.col("near")[0].cast("long")
-    member = described.withColumn("list", F.explode(F.array(*[number(i, j) for i, j in pairs])))
+    member = described.withColumn("list", F.explode(F.slice("near", 1, keys)))
     sizes = member.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     # from here one row a list and vector, without the vector's rows being grouped by list
     dealt = member.join(ws.table(sizes, "sizes").drop("n"), "list").withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))

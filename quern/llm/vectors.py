@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<double>): rows with an id and a vector that is not null, empty or zero and has
+    """(id, v array of floats or doubles): rows with an id and a vector that is not null, empty or zero and has
     neither null nor non-finite components, nor a norm that overflows or vanishes."""
-    v = F.col(vector_col).cast("array<double>")
+    kind = df.schema[vector_col].dataType.elementType.simpleString()
+    v = F.col(vector_col).cast("array<float>" if kind == "float" else "array<double>")  # floats travel as they are
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite
     rows = df.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    n = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    n = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return rows.where((n > 0) & (n < float("inf")))
 
 
