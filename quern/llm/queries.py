@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import pivot_dedup
+from quern.llm.html_text import extract_text
 from quern.llm.langid import predict, train
 from quern.llm.line_dedup import drop_boilerplate
 from quern.llm.minhash_forest import near_duplicates
 from quern.llm.mixing import mix
+from quern.llm.projected_search import nearest
 from quern.llm.sentencepiece_codec import decode, encode
 from quern.llm.shared import fold_of
+from quern.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +45,30 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op4_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(id, to_id) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.to_id = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id, c.component_id = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id) c ON c.id = e.vec_id
+"""
+
+
+def op5_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 50 = 0"), k=5).select("query_id", "rank", "vec_id", "score")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_boilerplate(_read(spark, sf_dir, "documents"), text_col="text", host_col="source", ratio=0.1, min_pages=5)
     return out.select("doc_id", "source", "lines_all", "lines_dropped", "text")
@@ -67,6 +95,10 @@ FROM documents d LEFT JOIN agg a USING (doc_id)
 """
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op8_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -96,11 +128,19 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, c.component_id
 FROM documents d JOIN comp c ON c.id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("doc_id", "n_tokens")
+
+
 QUERIES: dict[str, Query] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_mix_sources": op3_mix_sources,
+    "op4_pivot_dedup": op4_pivot_dedup,
+    "op5_projected_search": op5_projected_search,
     "op6_line_dedup": op6_line_dedup,
+    "op7_html_text": op7_html_text,
     "op8_language_filters": op8_language_filters,
     "op9_minhash_forest": op9_minhash_forest,
+    "op10_token_counts": op10_token_counts,
 }
-SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op9_minhash_forest": OP9_SQL}
+SQL: dict[str, str] = {"op4_pivot_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_forest": OP9_SQL}
