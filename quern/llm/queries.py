@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import pivot_dedup
+from quern.llm import pivot_dedup, toxicity
 from quern.llm.html_text import extract_text
 from quern.llm.langid import predict, train
 from quern.llm.line_dedup import drop_boilerplate
@@ -32,6 +32,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    net = toxicity.train(docs.where(~held_out), _read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    out = toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), net)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     rows = encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
@@ -53,7 +61,7 @@ OP4_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
 ), reach(id, to_id) AS (
@@ -133,6 +141,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_mix_sources": op3_mix_sources,
     "op4_pivot_dedup": op4_pivot_dedup,
