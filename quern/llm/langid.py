@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import mix64
+from quern.llm.shared import mix64, small
 
 ORDERS = (3, 4)
 #: Bound of the training sample: so many labelled texts of each language, by hash of the id.
@@ -147,9 +147,12 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     What reaches the driver is ``grams_per_language`` n-grams for each language."""
     labelled = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # ranks are cut within each task before the shuffle (window group limit)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(7)), "id", "text")
-    sample = labelled.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= texts_per_language).select("lang", "text")
+    # ids are chosen without their texts, and cut within each task before the shuffle
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(7)), "id")
+    chosen = labelled.select("lang", "id").distinct().withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= texts_per_language).select("lang", "id")
+    n_languages = labelled.select("lang").distinct().count()
+    chosen = small(chosen, n_languages * texts_per_language)
+    sample = labelled.join(chosen, ["lang", "id"], "left_semi").select("lang", "text")
     grams = sample.repartition(F.xxhash64("text")).mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     every = Window.partitionBy("lang")
     grams = grams.withColumn("f", F.col("n") / F.sum("n").over(every)).where("n > 1")
