@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quern import queries_aggs, queries_other, queries_search
+
+QUERIES: dict = queries_search.QUERIES | queries_aggs.QUERIES | queries_other.QUERIES
+SQL: dict = queries_search.SQL | queries_aggs.SQL | queries_other.SQL
