@@ -14,7 +14,7 @@ from quern.llm.line_dedup import drop_boilerplate
 from quern.llm.minhash_forest import near_duplicates
 from quern.llm.mixing import apply_mix
 from quern.llm.queries import tokenizer_path
-from quern.llm.sentencepiece_codec import decode, encode
+from quern.llm.sentencepiece_codec import encode
 from quern.llm.shared import Workspace, fold_of
 
 #: A document is rejected without a letter, or if no language has this part of its n-grams.
@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with the byte spans of their pieces, and whether decoding gives the text back."""
     path = tokenizer_path()
-    out = decode(encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    out = encode(docs.select("doc_id", "lang", "source", "text"), path, decoded=True)
     return out.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),

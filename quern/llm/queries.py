@@ -14,7 +14,7 @@ from quern.llm.line_dedup import drop_boilerplate
 from quern.llm.minhash_forest import near_duplicates
 from quern.llm.mixing import mix
 from quern.llm.projected_search import nearest
-from quern.llm.sentencepiece_codec import decode, encode
+from quern.llm.sentencepiece_codec import encode
 from quern.llm.shared import fold_of
 from quern.llm.token_counts import count_tokens
 
@@ -42,8 +42,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    rows = encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    rows = decode(rows, path)
+    rows = encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded=True)
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -24,7 +24,7 @@ from quern.llm.batch_merge import BatchMerger
 from quern.llm.piece_model import BYTE, CONTROL, INVALID, SPACE, UNKNOWN, UNUSED, USER_DEFINED, Normalizer, PieceModel
 
 #: A worker remembers so many chunks of up to REMEMBERED_LENGTH characters, then starts anew.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 250_000, 64
 _NEVER = float("inf")
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -269,13 +269,15 @@ def _plain_places(text: str) -> np.ndarray:
     return np.concatenate(([0, 0, 0], np.repeat(np.arange(data.size), width), [data.size]))
 
 
-def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", eos: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", eos: bool = True, decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids``, ``starts``, ``ends`` (arrays; byte spans of the source text) in place of
-    columns so named.
+    columns so named; with ``decoded`` also the text that the ids decode to, in the same pass.
 
     A null or empty text has the end id alone.  Repeated rows get equal results; an empty table gives
     an empty result.  ``model_path`` is a file that every executor has."""
 
+    new = ["ids", "starts", "ends", *(["decoded"] if decoded else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model_path)
         for batch in batches:
@@ -287,14 +289,15 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", eos: boo
                 n = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
                 flat = [np.concatenate([x[k] for x in found]) for k in range(3)]
                 rest = [c.slice(at, 500) for c in batch.columns[1:]]
+                texts_back = [pa.array([codec.decode(x[0]) for x in found], pa.string())] if decoded else []
                 arrays = [pa.ListArray.from_arrays(n, pa.array(f.astype(np.int32), pa.int32())) for f in flat]
-                yield pa.RecordBatch.from_arrays([*rest, *arrays], schema=pa.schema([*[pa.field(f"c{i}", c.type) for i, c in enumerate(rest)], *[pa.field(x, a.type) for x, a in zip(("ids", "starts", "ends"), arrays)]]))
+                yield pa.RecordBatch.from_arrays([*rest, *arrays, *texts_back], names=[*[f"c{i}" for i in range(len(rest))], *new])
 
-    kept = [f for f in docs.schema.fields if f.name not in ("ids", "starts", "ends")]
+    kept = [f for f in docs.schema.fields if f.name not in new]
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])
-    schema = ", ".join([*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)], "ids array<int>, starts array<int>, ends array<int>"])
+    schema = ", ".join([*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)], "ids array<int>, starts array<int>, ends array<int>", *(["decoded string"] if decoded else [])])
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)], "ids", "starts", "ends")
+    return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)], *new)
 
 
 def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
