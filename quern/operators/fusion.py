@@ -38,7 +38,7 @@ def weighted(text: DataFrame, vectors: DataFrame, text_weight: float = 0.5, vect
     t = text.crossJoin(F.broadcast(text.agg(F.max("score").alias("top")))).select("id", _normal(F.col("score"), how, None, F.col("top")).alias("t"))
     v = vectors.crossJoin(F.broadcast(vectors.agg(F.max("score").alias("top")))).select("id", _normal(F.col("score"), how, metric, F.col("top")).alias("v"))
     score = F.lit(text_weight) * F.coalesce("t", F.lit(0.0)) + F.lit(vector_weight) * F.coalesce("v", F.lit(0.0))
-    return t.join(v, "id", "full").select("id", F.round(score, 6).alias("score"))
+    return t.join(v, "id", "full").select("id", F.round(score, 9).alias("score"))
 
 
 def merge_shards(shards: DataFrame, how: str = "simple", k: int = 60) -> DataFrame:

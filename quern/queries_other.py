@@ -62,7 +62,7 @@ for how in ("none", "max_norm", "metric_aware"):
     v = "score" if how in ("none", "metric_aware") else "score / (SELECT max(score) FROM v)"
     add(
         f"hybrid_weighted_{how}", lambda s, d, how=how: fusion.weighted(_text_leg(s, d), _knn("cosine", 30)(s, d), 0.7, 0.3, how),
-        f"WITH {_legs} SELECT id, round(0.7::DOUBLE * coalesce(a, 0.0) + 0.3::DOUBLE * coalesce(b, 0.0), 6) AS score FROM (SELECT id, {t} AS a FROM t) FULL JOIN (SELECT id, {v} AS b FROM v) USING (id)",
+        f"WITH {_legs} SELECT id, round(0.7::DOUBLE * coalesce(a, 0.0) + 0.3::DOUBLE * coalesce(b, 0.0), 9) AS score FROM (SELECT id, {t} AS a FROM t) FULL JOIN (SELECT id, {v} AS b FROM v) USING (id)",
     )
 _EVENT_SCORE = "value"
 
