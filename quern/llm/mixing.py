@@ -120,8 +120,7 @@ def mix(
     most, n_sources = targets.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
     targets = small(targets, n_sources)
 
-    on = units["source"].eqNullSafe(targets["source"])
-    joined = units.join(targets.withColumnRenamed("source", "s"), units["source"].eqNullSafe(F.col("s")), "inner") if n_sources else units.join(targets, on)
+    joined = units.join(targets.withColumnRenamed("source", "s"), units["source"].eqNullSafe(F.col("s")))
     unit = F.struct("id", "size", "mult", F.col("mass").cast("double").alias("mass"), F.col("part").alias("p"))
     sized = joined.where("size > 0").select("source", "n", unit.alias("unit"))
     empty = joined.where("size = 0").select("source", "id", "size", "mult", (_uniform("id", F.lit(seed)) < F.col("part")).cast("int").alias("up"))
