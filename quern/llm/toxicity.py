@@ -32,6 +32,8 @@ SHARP = 2.0
 TEXTS_PER_LABEL, LONGEST = (2_000, 6_000), 5_000
 #: Of these, so many train the window layer too.
 WINDOW_TEXTS = (500, 1_500)
+#: Steps of training at least, however few the texts.
+LEAST_STEPS = 320
 #: A worker remembers so many words, then starts anew.
 REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % LETTERS)
@@ -187,7 +189,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 2, batch: int = 16
     _spelling(net, rows, rng, spelling)
     some = {y: [k for k, r in enumerate(rows) if r[1] == y] for y in (0, 1)}
     rows = [rows[k] for k in sorted(some[1][: WINDOW_TEXTS[0]] + some[0][: WINDOW_TEXTS[1]])]
-    adam = _Adam(params := net.parameters(), rate, max(epochs, -(-epochs * 400 // len(rows))) * -(-len(rows) // batch))  # few texts are read more often
+    adam = _Adam(params := net.parameters(), rate, max(LEAST_STEPS, epochs * -(-len(rows) // batch)))  # few texts are read more often
     while adam.left:
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
