@@ -132,14 +132,16 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums before the shuffle: each batch gives each n-gram of a language once."""
-    for batch in batches:
-        found: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found.setdefault(lang, []).append(gram_hashes(text or ""))
-        for lang, parts in found.items():
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * h.size, pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+    """Sums before the shuffle: every 200 texts give each n-gram of a language once."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 200):
+            batch = whole.slice(at, 200)
+            found: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found.setdefault(lang, []).append(gram_hashes(text or ""))
+            for lang, parts in found.items():
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * h.size, pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def train(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts_per_language: int = TEXTS_PER_LANGUAGE, grams_per_language: int = GRAMS_PER_LANGUAGE) -> Filters:
