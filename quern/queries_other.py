@@ -11,9 +11,8 @@ from quern.functions import ranking
 from quern.functions.vector import cosine
 from quern.operators import fusion, graph
 from quern.operators.vectors import embed, knn
-from quern.plans.ast import Or, Term
+from quern.plans.ast import Term
 from quern.plans.search import matches, search
-from quern.queries_search import SQL as SEARCH_SQL
 from quern.queries_search import W1, W2, _page_node, _sql, _three, docs, read
 from quern.sources import catalog, collection, pipelines
 
@@ -64,7 +63,6 @@ for how in ("none", "max_norm", "metric_aware"):
         f"hybrid_weighted_{how}", lambda s, d, how=how: fusion.weighted(_text_leg(s, d), _knn("cosine", 30)(s, d), 0.7, 0.3, how),
         f"WITH {_legs} SELECT id, round(0.7::DOUBLE * coalesce(a, 0.0) + 0.3::DOUBLE * coalesce(b, 0.0), 9) AS score FROM (SELECT id, {t} AS a FROM t) FULL JOIN (SELECT id, {v} AS b FROM v) USING (id)",
     )
-_EVENT_SCORE = "value"
 
 
 def _shards(s, d) -> DataFrame:
@@ -215,4 +213,3 @@ def _path(s, d) -> DataFrame:
 
 
 add("graph_shortest_path", _path, "SELECT unnest([0, 1, 2])::INT AS step, unnest(['s1', 'n' || s_nationkey, 'r' || n_regionkey]) AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1")
-_ = (Or, SEARCH_SQL)

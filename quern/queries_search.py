@@ -9,7 +9,7 @@ from quern.functions import text as text_functions
 from quern.functions.text import default_tokens, highlight
 from quern.operators import suggest as sg
 from quern.plans import es, lucene
-from quern.plans.ast import And, MatchAll, Not, Or, Phrase, Term, Wildcard
+from quern.plans.ast import MatchAll, Not, Or, Term, Wildcard
 from quern.plans.search import Collection, matches, search
 
 TOKENS = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: len(x) BETWEEN 1 AND 39)"
@@ -124,7 +124,6 @@ add("code_tokens", lambda s, d: read(s, d, "pages").select("page_id", F.array_jo
 add("comment_tokens", lambda s, d: read(s, d, "pages").select("page_id", F.array_join(text_functions.comment_tokens(F.col("url")), " ").alias("tokens")), r"SELECT page_id, array_to_string(list_filter(regexp_split_to_array(lower(url), '[^\p{L}\p{N}_]+'), lambda x: len(x) >= 2), ' ') AS tokens FROM pages")
 add("code_language", lambda s, d: read(s, d, "pages").select("page_id", text_functions.code_language(F.col("url"), F.col("html")).alias("language")), "SELECT page_id, CASE WHEN regexp_matches(url, '\\.(html|css|js)$') THEN regexp_extract(url, '\\.([a-z]+)$', 1) WHEN regexp_matches(html, '(?i)<html') THEN 'html' END AS language FROM pages")
 add("html_strip", lambda s, d: read(s, d, "pages").select("page_id", text_functions.html_strip(F.col("html")).alias("text")), "SELECT page_id, replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', '') AS text FROM pages")
-_wiki = r"regexp_replace(regexp_replace(text, '''{2,}', '', 'g'), '(?m)^[*#:;]+\s*', '', 'g')"
 add("wikitext_strip", lambda s, d: read(s, d, "documents").select("doc_id", text_functions.wikitext_strip(F.concat(F.lit("'''"), F.col("source"), F.lit("''' is a [[link|name]] {{box}}<ref>x</ref>"))).alias("text")), "SELECT doc_id, source || ' is a name' AS text FROM documents")
 
 # vocabulary
@@ -145,4 +144,3 @@ WHERE doc_freq >= 5 ORDER BY score DESC, term LIMIT 25""")
 add("more_like_this", lambda s, d: sg.more_like_this(docs(s, d), text="thing thing the the", size=10), f"SELECT * FROM ({_sql(['thing', 'the'], *any_two)}) {_top} LIMIT 10")
 add("reconstruct", lambda s, d: sg.reconstruct(docs(s, d), 3).select("field", F.array_join("terms", " ").alias("terms")), f"SELECT 'text' AS field, array_to_string(list_sort(list_distinct({TOKENS.format(c='text')})), ' ') AS terms FROM documents WHERE doc_id = 3")
 add("and_builder", _all(Term(W1) & ~Term(W2)), _sql([W1, W2], "tf0 > 0 AND tf1 = 0", "e0"))
-_ = (And, Phrase)

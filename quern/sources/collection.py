@@ -87,11 +87,9 @@ def bulk(lines: DataFrame) -> DataFrame:
     # a document may look like an action: an action's document is the line after it
     rows = rows.withColumn("was", F.lag("kind").over(order))
     rows = rows.where((F.col("kind") != "") & ~F.coalesce(F.col("was").isin("index", "create", "update"), F.lit(False)))
-    path = F.concat(F.lit("$."), F.col("kind"))
     field = lambda name: F.expr(f"get_json_object(value, concat('$.', kind, '.{name}'))")
     index = field("_index")
     error = F.when(index.contains("*") | index.contains("?"), "wildcard index").when((F.col("kind") != "delete") & (F.col("after").isNull() | F.expr("try_parse_json(after)").isNull()), "no document").when((F.col("kind") == "delete") & field("_id").isNull(), "no id")
-    del path
     return rows.select(F.col("line").alias("seq"), F.col("kind").alias("op"), index.alias("index"), F.coalesce(field("_id"), F.concat(F.lit("auto-"), F.col("line").cast("string"))).alias("id"), F.when(F.col("kind") != "delete", F.col("after")).alias("source"), error.alias("error"))
 
 
