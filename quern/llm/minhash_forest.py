@@ -11,6 +11,14 @@ Copies (equal sets) are one class from the start.  Confirmation follows the need
 components: first every set against its smallest candidate, then every component against
 its smallest neighbour, then all candidates that still lie between two components.  A link
 inside a component changes nothing and is not looked up.
+
+What the window leaves out is completed exactly.  In one order of all shingles, two sets that are
+alike enough share a shingle among the first ``n - least overlap + 1`` of each (prefix filtering).  The
+sets of one such shingle are a list; lists within one component are done.  Long lists are first
+searched in breadth from set to set, comparing each with the sets it isn't joined to yet, which
+joins a dense group in few comparisons; then every pair of components that still meets in a list
+is confirmed.  Shingles that are frequent in a sample come last in the order: that shortens lists and
+can't change the result.
 """
 
 from __future__ import annotations
@@ -30,6 +38,10 @@ TREES, DEPTH, WINDOW, LEAST_PREFIX = 16, 8, 2, 2
 _VALUE = 4  # bytes
 #: So many ids, 8 bytes each, are sent to the texts at most.
 BROADCAST_IDS = 1_000_000
+#: Frequent shingles are learned from about so many texts; so many of them at most, in at least so many texts.
+FREQUENCY_TEXTS, MOST_FREQUENT, LEAST_FREQUENCY = 20_000, 100_000, 4
+#: Lists of at least so many sets are searched in breadth, in parts of about so many shingles.
+LONG_LIST, PART_SHINGLES = 32, 4_000_000
 
 
 def _multipliers(k: int, seed: int = 71) -> np.ndarray:
@@ -47,16 +59,29 @@ def minhash(shingles: np.ndarray, a: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(width: int, k: int):
+def _prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles in the order of all: two sets that link share one of these."""
+    n = shingles.size
+    if common.size:
+        at = np.minimum(np.searchsorted(common, shingles), common.size - 1)
+        late = common[at] == shingles
+        shingles = np.concatenate((shingles[~late], common[at[late][np.argsort(rank[at[late]], kind="stable")]]))
+    return shingles[: n + (percent * n) // -100 + 1]  # the overlap is at least percent * n / 100
+
+
+def _signatures(width: int, k: int, common: np.ndarray, rank: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _multipliers(k)
         for batch in batches:
-            sizes, classes, marks = [], [], []
+            sizes, classes, marks, firsts = [], [], [], []
             for s in shingle_sets(text_bytes(batch.column(1)), width):
                 sizes.append(s.size)
                 classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None)
                 marks.append(minhash(s, a).astype(">u4").tobytes() if s.size else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(marks, pa.binary())], names=["id", "n", "class", "marks"])
+                firsts.append(_prefix(s, common, rank, percent).view(np.int64))
+            ends = pa.array(np.cumsum([0, *(f.size for f in firsts)]), pa.int32())
+            prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(marks, pa.binary()), prefix], names=["id", "n", "class", "marks", "prefix"])
 
     return run
 
@@ -151,6 +176,120 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.where(100 * both >= percent * either).select(*pairs.columns)
 
 
+def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found often in a sample of the texts, sorted, and the rank of each by frequency."""
+    every = max(1, rows.count() // FREQUENCY_TEXTS)
+    some = rows.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id", F.lit(17)), F.lit(every)) == 0))
+    counts = some.mapInArrow(_sets(width), "id long, hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= LEAST_FREQUENCY)
+    found = counts.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).toPandas()
+    common, count = found["h"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    order = np.argsort(common)
+    return common[order], count[order]
+
+
+def _search(percent: int):
+    """A part of a list, rows (comp, id, hashes): links that join all sets of the part that belong together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comps = table["id"].to_numpy(), table["comp"].to_numpy()
+        hashes = table["hashes"].combine_chunks()
+        sizes = np.diff(hashes.offsets.to_numpy())
+        values, flat = np.unique(hashes.flatten().to_numpy(), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        seen = np.zeros(values.size, np.int32)
+        _, label = np.unique(comps, return_inverse=True)
+        a, b = [], []
+        done = np.zeros(ids.size, bool)
+        rest = np.arange(ids.size)  # sets not yet compared with all others; their shingles in order
+        part, begins = flat, starts
+        queue: list[int] = []
+        while True:
+            while queue and done[queue[-1]]:
+                queue.pop()
+            if queue:
+                x = queue.pop()
+            else:
+                left = rest[~done[rest]]
+                if left.size < 2:
+                    break
+                x = int(left[0])
+            done[x] = True
+            mine = flat[starts[x] : starts[x] + sizes[x]]
+            seen[mine] = 1
+            both = np.add.reduceat(seen[part], begins)
+            seen[mine] = 0
+            linked = rest[(100 * both >= percent * (sizes[rest] + sizes[x] - both)) & (label[rest] != label[x])]
+            for y in linked.tolist():
+                if label[y] != label[x]:
+                    a.append(ids[x])
+                    b.append(ids[y])
+                    label[label == label[y]] = label[x]
+            queue += linked[np.argsort(both[np.searchsorted(rest, linked)], kind="stable")].tolist()  # the most alike next
+            open_ = ~done[rest]
+            if (label[rest[open_]] == label[x]).all() and (label[rest] == label[x]).all():
+                break
+            if 2 * open_.sum() <= rest.size:  # pairs with a done set have been compared
+                rest = rest[open_]
+                if rest.size < 2:
+                    break
+                part = np.concatenate([flat[starts[y] : starts[y] + sizes[y]] for y in rest])
+                begins = np.cumsum(sizes[rest]) - sizes[rest]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (token, pos, id, n) of lists that several components share, with comp and the list's sizes."""
+    of = comps.select(F.col("id").alias("__id"), "comp")
+    rows = lists.join(of, F.col("id") == F.col("__id"), "left").select("token", "pos", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    rows = rows.repartition("token")  # one exchange for both uses
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("all_n")).where("lo <> hi")
+    return rows.join(mixed.select("token", "m", "all_n"), "token")
+
+
+def _complete(ws: Workspace, rows: DataFrame, marked: DataFrame, classes: DataFrame, comps: DataFrame, width: int, percent: int) -> DataFrame:
+    """``comps`` after all links between components, found by prefix filtering."""
+    ids = classes.select("id")
+    firsts = marked.select("id", F.col("n").cast("int").alias("n"), "prefix").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    repeated = not marked.where("id is not null").groupBy("id").count().where(F.col("count") > 1).isEmpty()
+    once = (lambda df: df.dropDuplicates(["id"])) if repeated else (lambda df: df)
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        some = ws.table(some.distinct(), "list-ids")
+        some = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+        return ws.table(once(rows.join(some, "id", "left_semi")).mapInArrow(_sets(width), "id long, hashes array<long>"), "list-sets")
+
+    open_ = ws.table(_open_lists(once(firsts).select("id", "n", F.posexplode("prefix").alias("pos", "token")), comps), "lists")
+    for _ in range(2):
+        longest = open_.where(F.col("m") >= LONG_LIST).groupBy("id").agg(F.max(F.struct("m", "token")).alias("t")).select("t.token").distinct()
+        longest = ws.table(longest, "longest")
+        if longest.isEmpty():
+            break
+        parts = F.ceil(F.col("all_n") / PART_SHINGLES)
+        members = open_.join(longest, "token", "left_semi").select("token", F.pmod(F.xxhash64("id", F.lit(19)), parts).alias("part"), "id", "comp")
+        members = members.join(sets_of(members.select("id")), "id")
+        links = ws.table(members.groupBy("token", "part").applyInArrow(_search(percent), "a long, b long"), "list-links")
+        if links.isEmpty():
+            break
+        comps = _join(ws, links, comps)
+        open_ = ws.table(_open_lists(open_.select("token", "pos", "id", "n"), comps), "lists")
+    x, y = (open_.select("token", *[F.col(c).alias(c + side) for c in ("pos", "id", "n", "comp")]) for side in "ab")
+    most = F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1  # shared before, here and after
+    pairs = x.join(y, "token").where((F.col("ida") > F.col("idb")) & (F.col("compa") != F.col("compb")) & (most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))))
+    pairs = ws.table(pairs.select(F.col("ida").alias("ea"), F.col("idb").alias("eb")).distinct(), "list-pairs")
+    if pairs.isEmpty():
+        return comps
+    sets = sets_of(pairs.select(F.col("ea").alias("id")).union(pairs.select("eb")))
+    found = ws.table(_confirm(pairs, sets, percent).select(F.col("ea").alias("a"), F.col("eb").alias("b")), "list-links")
+    return comps if found.isEmpty() else _join(ws, found, comps)
+
+
+def _join(ws: Workspace, links: DataFrame, comps: DataFrame) -> DataFrame:
+    """``comps`` after links between sets."""
+    return merge(ws, relabel(links, comps.select(F.col("id").alias("c"), F.col("comp").alias("p"))), comps)
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
     trees: int = TREES, depth: int = DEPTH, window: int = WINDOW, least_prefix: int = LEAST_PREFIX, workspace: Workspace | None = None,
@@ -168,7 +307,9 @@ def near_duplicates(
     ws = workspace or Workspace(docs.sparkSession, "minhash")
     ratio = percent / 100
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = ws.table(rows.mapInArrow(_signatures(width, trees * depth), "id long, n long, class binary, marks binary"), "marks")
+    common, rank = _frequent(rows, width)
+    run = _signatures(width, trees * depth, common, rank, percent)
+    marked = ws.table(rows.mapInArrow(run, "id long, n long, class binary, marks binary, prefix array<long>"), "marks")
     linked = marked.where("id is not null and class is not null")
     classes = ws.table(linked.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("marks").alias("marks")), "classes")
     pairs = candidates(ws, classes.select("id", "n", "marks"), trees=trees, depth=depth, window=window, least_prefix=least_prefix, ratio=ratio)
@@ -201,6 +342,7 @@ def near_duplicates(
                 break
         else:
             comps = merge(ws, links, comps)
+    comps = _complete(ws, rows, marked, classes, comps, width, percent)
 
     reps = classes.select("class", F.col("id").alias("rep")).join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("class", F.coalesce("comp", "rep").alias("comp"))
     out = marked.select("id", "n", "class").join(reps, "class", "left")

@@ -83,6 +83,24 @@ def test_minhash_against_brute_force(spark):
     assert [got[i][0]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
 
 
+def test_minhash_star_links_through_its_centre(spark):
+    rng = np.random.default_rng(8)
+    centre = [f"c{i}" for i in range(300)]
+    texts = [" ".join(centre)]
+    for i in range(2000):  # alike to the centre to 0.88, to each other to 0.78
+        t = list(centre)
+        for k in rng.choice(60, 4, replace=False):
+            t[5 * k] = f"e{i}x{k}"
+        texts.append(" ".join(t))
+    texts += ["lone " + " ".join(f"z{i}" for i in range(40))]
+    ids = rng.permutation(len(texts)) + 10  # the centre is not the smallest
+    rows = [(int(i), t) for i, t in zip(ids, texts)]
+    got = _by_id(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=85))
+    star = min(i for i, _ in rows[:-1])
+    assert all(got[i][0]["component_id"] == star for i, _ in rows[:-1])
+    assert got[rows[-1][0]][0]["component_id"] == rows[-1][0]
+
+
 def test_shingles_are_sets_of_words():
     t = "To to TO of of a b c d e f g  \t h\x0bi é É"
     words = t.encode().lower().split()
