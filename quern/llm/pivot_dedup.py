@@ -1,6 +1,8 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Pivots are reference vectors drawn from the data.  A vector is described by its ``order`` nearest
+Pivots are reference vectors drawn from the data, as far from each other as a sample allows, so that a
+dense group does not draw more of them than its spread.  Their number does not follow the data: a link is
+found by its place among the pivots alone, so recall stays level as rows grow, and lists grow.  A vector is described by its ``order`` nearest
 pivots, nearest first.  The inverted list of a pivot holds the vectors that have it among their
 ``keys`` nearest; two vectors that meet in a list are candidates if their descriptions share at
 least ``share`` pivots, and candidates are verified by the cosine in double precision.
@@ -13,7 +15,6 @@ blocks, never all pairs.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,26 @@ from quern.llm.components import merge
 from quern.llm.shared import Workspace
 from quern.llm.vectors import stack, unit, usable
 
-#: One pivot for about so many vectors, within the bounds: the pivots are broadcast, 8 bytes a
-#: component.  Beyond the upper bound lists grow with the data and are read in more blocks.
-ROWS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 24, 64, 16_384
-ORDER, SHARE, BLOCK = 8, 3, 1024
+#: So many pivots, chosen from so many vectors.  Lists grow with the data and are read in more blocks.
+PIVOTS, PIVOT_SAMPLE = 64, 4096
+ORDER, SHARE, BLOCK = 8, 3, 4096
+#: Blocks are compared in pieces of so many vectors, which bounds the pairs held at once.
+PIECE = 1024
 #: A vector enters the lists of its so many nearest pivots.
 NEAR = 6
 
 
+def _spread(sample: np.ndarray, m: int) -> np.ndarray:
+    """Up to ``m`` of the unit vectors, each the farthest from those before it."""
+    chosen = [0]
+    near = sample @ sample[0]
+    while len(chosen) < min(m, len(sample)):
+        near[chosen[-1]] = np.inf
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
 def _describe(pivots: np.ndarray, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,16 +99,23 @@ def _verify(threshold: float, share: int, keys: int):
             near = stack(t["near"].combine_chunks()).astype(np.int32)
             sides[p] = {"id": t["id"].to_numpy(), "copies": t["copies"].to_numpy(), "v": unit(stack(t["v"].combine_chunks())), "near": near, "lists": near[:, :keys]}
         a, b = sides[left], sides[right]
-        i, j = _pairs(a, b, left == right, own, threshold, share, keys)
+        out = [pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "hook": pa.array([], pa.int64())})]
+        for p in range(0, len(a["id"]), PIECE):
+            for q in range(0, p + 1 if left == right else len(b["id"]), PIECE):
+                out += _piece({k: v[p : p + PIECE] for k, v in a.items()}, {k: v[q : q + PIECE] for k, v in b.items()}, left == right and p == q, own)
+        return pa.concat_tables(out)
+
+    def _piece(a: dict, b: dict, same: bool, own: int):
+        i, j = _pairs(a, b, same, own, threshold, share, keys)
+        if not i.size:
+            return
         ids = np.concatenate([a["id"][i], b["id"][j]])
         other = np.concatenate([b["id"][j], a["id"][i]])
         copies = np.concatenate([b["copies"][j], a["copies"][i]])
-        if not ids.size:
-            return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "hook": pa.array([], pa.int64())})
         u, at = np.unique(ids, return_inverse=True)
         links = np.bincount(at, weights=copies).astype(np.int64)
         # every vector's smallest neighbour keeps each block's components whole only if chains meet: join them here
-        return pa.table({"id": u, "links": links, "hook": _local_roots(u, ids, other)})
+        yield pa.table({"id": u, "links": links, "hook": _local_roots(u, ids, other)})
 
     return run
 
@@ -126,14 +146,12 @@ def near_duplicates(
     ws = workspace or Workspace(rows.sparkSession, "pivots")
     good = ws.table(usable(rows, id_col, vector_col), "usable")
     classes = ws.table(good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "v", "copies"), "classes")
-    n = classes.count()
     ids = rows.select(F.col(id_col).cast("long").alias("id"))
-    if n == 0:
+    if classes.isEmpty():
         return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    m = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(n / ROWS_PER_PIVOT))))
     # a bounded sample, the same in every run; only usable vectors are pivots
-    sample = classes.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(m).select("v").toPandas()["v"]
-    pivots = unit(np.array(sample.tolist(), np.float64))
+    sample = classes.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(PIVOT_SAMPLE).select("v").toPandas()["v"]
+    pivots = _spread(unit(np.array(sample.tolist(), np.float64)), PIVOTS)
 
     schema = f"id long, v {classes.schema['v'].dataType.simpleString()}, copies long, near array<int>"
     described = ws.table(classes.mapInArrow(_describe(pivots, order), schema), "described")

@@ -225,6 +225,24 @@ def test_pivot_dedup_against_brute_force(spark):
     assert pivot_dedup.near_duplicates(df.limit(0)).count() == 0 and pivot_dedup.near_duplicates(df.where("vec_id >= 1000")).count() == 6
 
 
+def test_pivot_dedup_keeps_recall_beside_a_dense_group(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((16_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:5000] = x[0] * 3.2 + x[:5000]  # inner cosines about 0.91
+    y = x[15_000:] - (x[15_000:] * x[14_000:15_000]).sum(1)[:, None] * x[14_000:15_000]
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    x[15_000:] = 0.905 * x[14_000:15_000] + np.sqrt(1 - 0.905**2) * y  # pairs near the threshold
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    true = np.array([(u[a : a + 1000] @ u.T >= 0.9).sum(1) - 1 for a in range(0, len(u), 1000)]).ravel()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.zeros(len(u))
+    for r in pivot_dedup.near_duplicates(rows).collect():
+        got[r["vec_id"]] = r["n_links"]
+    print("recall", got[:5000].sum() / true[:5000].sum(), got[14_000:].sum() / true[14_000:].sum())
+    assert (got <= true).all() and got[:5000].sum() >= 0.95 * true[:5000].sum() and got[14_000:].sum() >= 0.95 * true[14_000:].sum()
+
+
 def test_nearest_against_brute_force(spark):
     x, df = _vectors(spark)
     u = x / np.linalg.norm(x, axis=1)[:, None]
