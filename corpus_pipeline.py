@@ -17,7 +17,7 @@ from quern.llm.queries import tokenizer_path
 from quern.llm.sentencepiece_codec import encode
 from quern.llm.shared import Workspace, fold_of
 
-#: A document is rejected without a letter, or if no language has this part of its n-grams.
+#: A document is rejected without a letter, or if no language has this share of its n-grams.
 LEAST_LANGUAGE_SCORE = 0.25
 
 

@@ -103,9 +103,13 @@ class Filters:
         return Filters(languages, table, wrong)
 
     def score(self, text: str | None) -> tuple[str, float]:
-        """(language, share in 0..1); ("und", 0.0) for null or a text without letters."""
+        """(language, part of all shares in 0..1); ("und", 0.0) for null or a text without letters."""
+        return self.measure(text)[:2]
+
+    def measure(self, text: str | None) -> tuple[str, float, float]:
+        """(language, part of all shares, corrected share of the text's n-grams)."""
         if not text or not has_letter(text) or not self.languages:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         h = gram_hashes(text)
         share = np.zeros(len(self.languages))
         if h.size:
@@ -114,7 +118,7 @@ class Filters:
             share = np.clip((hits / h.size - self.wrong) / (1 - self.wrong), 0, 1)
         best = int(np.argmax(share))  # ties: the first by code points
         total = share.sum()
-        return self.languages[best], float(share[best] / total) if total > 0 else 0.0
+        return self.languages[best], float(share[best] / total) if total > 0 else 0.0, float(share[best])
 
 
 def _popcounts(bits: np.ndarray) -> np.ndarray:
@@ -167,30 +171,31 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def predict(docs: DataFrame, filters: Filters, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` in place of columns so named.
+    """``docs`` with ``lang_pred``, ``score`` and ``lang_share`` in place of columns so named.
 
     lang_pred is a learned label, or ``und`` with score 0 if the text is null or has no letter.  A text
     none of whose n-grams was learned gets the first label and score 0.  The score is
-    the winner's part of the corrected shares of all languages.  Ties go to the
+    the winner's part of the corrected shares of all languages; lang_share is the winner's corrected share of the
+    text's n-grams, which doesn't depend on the number of languages.  Ties go to the
     first label by code points.  Repeated rows get equal results; no rows, no result rows."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(filters)  # SLOTS * 8 bytes a 64 languages: a fixed size
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, lang_share double")
     def run(texts):
         import pandas as pd
 
         f = model.value
-        return pd.DataFrame([f.score(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([f.measure(t) for t in texts], columns=["lang_pred", "score", "lang_share"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_share")]
     out = docs.withColumn("__lang", run(F.col(text_col)))
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.score").alias("score"))
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.score").alias("score"), F.col("__lang.lang_share").alias("lang_share"))
 
 
 def accepted(least: float) -> Column:
-    """Whether a predicted row is kept as a document of its language."""
-    return (F.col("lang_pred") != "und") & (F.col("score") >= least)
+    """Whether a predicted row is kept: its language has at least this share of its n-grams."""
+    return (F.col("lang_pred") != "und") & (F.col("lang_share") >= least)
 
 
 __all__ = ["Filters", "SparkSession", "accepted", "gram_hashes", "predict", "train"]

@@ -183,6 +183,18 @@ def test_language_filters(spark, odd, none):
     assert g.score(chr(0x4E00 + 101) * 5)[0] == "l101"
 
 
+def test_language_share_decides(spark):
+    text = "the cat and the dog with this house over that river"
+    related = [f"l{i}" for i in range(10)]  # ten languages that share their n-grams
+    clean = Filters.build(related, dict.fromkeys(related, gram_hashes(text)))
+    four = Filters.build(["de", "en", "es", "fr"], {"de": gram_hashes("der hund und die katze nicht"), "en": gram_hashes(text), "es": gram_hashes("el perro y los gatos"), "fr": gram_hashes("le chien dans une maison")})
+    junk, foreign = "xqzv kjwq zzxv qpwk vbnq the wqjx kzqv", "kissa istuu pöydällä ja katselee ikkunasta pihalle"
+    rows = spark.createDataFrame([(0, text), (1, junk), (2, foreign)], "doc_id long, text string")
+    assert four.score(junk)[1] >= 0.25  # a part of all shares does not tell
+    assert [r["doc_id"] for r in predict(rows, four).where(accepted(0.25)).collect()] == [0]
+    assert clean.score(text)[1] < 0.25 and [r["doc_id"] for r in predict(rows, clean).where(accepted(0.25)).collect()] == [0]
+
+
 def test_tokens(odd, none):
     path = tokenizer_path()
     out = _by_id(decode(encode(odd, path), path))
