@@ -27,6 +27,8 @@ UNSEEN = frozenset("head script style template noscript iframe noembed noframes
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr menu dir".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+#: What may stand in a head; any other start tag, or text, ends it.
+IN_HEAD = frozenset("title meta link base basefont bgsound script style template noscript noframes head html".split())
 #: A start tag closes the nearest open element of the first set, up to the second.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -80,8 +82,14 @@ def build(source: str) -> Node:
             if stack[k].tag in until:
                 return
 
+    def end_head() -> None:
+        if opened["head"] and not opened["template"]:
+            cut(next(k for k, x in enumerate(stack) if x.tag == "head"))
+
     def text(data: str) -> None:
         if data:
+            if opened["head"] and data.strip(" \t\n\r\f"):
+                end_head()
             stack[-1].children.append(html.unescape(data) if "&" in data else data)
 
     at, size = 0, len(source)
@@ -108,6 +116,8 @@ def build(source: str) -> Node:
                     if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
                         break  # an end tag inside a cell does not close what is around the table
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in ENDS_P:
             close({"p"}, {"td", "th", "table", "button", "li"})
         if tag in CLOSES:

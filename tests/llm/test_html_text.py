@@ -33,3 +33,18 @@ def test_null_and_hard_input():
     assert to_text("<div>" * 20_000 + "deep") == "deep"
     assert to_text("<b>x</b>" * 50_000) == "x" * 50_000
     assert to_text("<a href='" + "y" * 100_000) == ""
+
+
+HEADLESS = {
+    "<head><title>T</title><body>x": "x",
+    "<html><head><meta charset=utf-8><p>a<p>b": "a\n\nb",
+    "<head><title>T</title>\n words <b>y</b>": "words y",
+    "<head><script>s</script><style>c</style><noscript>n</noscript><link rel=x><h1>H</h1>": "H",
+    "<head><template><p>no</p></template><title>T</title></head>z": "z",
+    "<head><title>T</title></head><body>z": "z",
+}
+
+
+@pytest.mark.parametrize("source", HEADLESS)
+def test_open_head_ends(source):
+    assert to_text(source) == HEADLESS[source]
