@@ -127,6 +127,8 @@ def build(source: str) -> Node:
                 push(_child(stack[-1], "tr"))
             if not opened["table"]:
                 continue  # parts of tables outside tables are ignored, their text stays
+        if tag == "form" and stack[-1].tag in ("table", "tbody", "thead", "tfoot", "tr"):
+            continue  # its cells belong to the row
         node = Node(tag, _attributes(m[5]))
         stack[-1].children.append(node)
         if tag in VOID:
@@ -306,13 +308,25 @@ def _rows(table: Node) -> Iterator[list[Node]]:
                 yield from _rows(c)
 
 
+def _strays(part: Node) -> Iterator[Node]:
+    """What stands in rows and sections outside cells, a block for each of them."""
+    for c in part.children:
+        if isinstance(c, Node) and visible(c) and c.tag in ("tr", "thead", "tbody", "tfoot"):
+            inside = ("td", "th") if c.tag == "tr" else ("tr", "thead", "tbody", "tfoot")
+            block = Node("div", {})
+            block.children = [d for d in c.children if isinstance(d, str) or d.tag not in inside]
+            yield block
+            if c.tag != "tr":
+                yield from _strays(c)
+
+
 def _span(cell: Node) -> int:
     value = cell.attributes.get("colspan", "1")
     return min(max(int(value), 1), 1000) if value.isdecimal() and len(value) < 6 else 1
 
 
 def _table(table: Node) -> list[str]:
-    """Captions, then rows of cells padded to the columns' widths; cells of several lines stack."""
+    """Captions and what stands outside cells, then rows of cells padded to the columns' widths; cells of several lines stack."""
     out: list[str] = []
     for c in table.children:
         if isinstance(c, str):
@@ -320,6 +334,8 @@ def _table(table: Node) -> list[str]:
                 out.append(_SPACE.sub(" ", c).strip())
         elif c.tag not in ("tr", "thead", "tbody", "tfoot") and visible(c):
             out += render(c)
+    for block in _strays(table):
+        out += render(block)
     rows = [[(render(c) or [""], _span(c)) for c in row] for row in _rows(table)]
     widths: dict[int, int] = {}
     for row in rows:

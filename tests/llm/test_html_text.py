@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from quern.llm.html_text import to_text
@@ -48,3 +50,18 @@ HEADLESS = {
 @pytest.mark.parametrize("source", HEADLESS)
 def test_open_head_ends(source):
     assert to_text(source) == HEADLESS[source]
+
+
+BROKEN = (
+    "<table><tr><form><td>w1</td><td>w2</td></form></tr></table>w3",
+    "<table><tr>w1<td>w2</table>",
+    "<table><tbody>w1 <b>w2</b><tr><td>w3</tbody></table>",
+    "<table><tr><td>w1</td><p>w2<div>w3 <i>w4</i></div>w5",
+    "<table><tr><div><td>w1</td></div><td>w2</table>",
+    "<table><tr><td>w1</td><table><tr>w2<td>w3</table>w4",
+)
+
+
+@pytest.mark.parametrize("source", BROKEN)
+def test_broken_tables_keep_their_words(source):
+    assert sorted(re.findall(r"w\d", to_text(source))) == sorted(re.findall(r"w\d", source))
