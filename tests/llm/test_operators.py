@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import pivot_dedup
+from quern.llm import pivot_dedup, toxicity
 from quern.llm.html_text import extract_text
 from quern.llm.langid import Filters, accepted, gram_hashes, predict, train
 from quern.llm.line_dedup import drop_boilerplate
@@ -293,3 +293,14 @@ def test_toxicity(spark, odd, none):
     for n in (0, 1, 32, 33, 57, 500):
         assert {k for a, b in windows_of(n) for k in range(a, b)} == set(range(n))
     assert words_of("Ab1cd É" + "x" * 60) == ["ab", "cd", "é" + "x" * 23, "x" * 24, "x" * 13]
+
+
+def test_toxicity_layers_learn_from_a_sample_by_hash(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, **how: seen.extend(zip(map(int, texts), labels)))
+    docs = spark.createDataFrame([(i, str(i)) for i in range(400)], "doc_id long, text string")
+    toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS toxic"))
+    assert sorted(i for i, _ in seen) == list(range(400))
+    for label in (0, 1):
+        front = [i for i, y in seen if y == label][:50]
+        assert 120 < np.mean(front) < 280  # the front of the ids would be about 50
