@@ -67,6 +67,24 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Left join of ``rows`` with ``table``, which has one row a key, if a few keys hold most rows.
+
+    hot: the rows of ``table`` whose key has many rows; their number is bounded by the rows over
+    that many, and they are sent to the rows.  Rows with a null key match nothing and do not move."""
+    names = [c for c in table.columns if c != key]
+    nothing = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in names]
+    known = rows.where(F.col(key).isNotNull())
+    if hot.count():
+        head = known.join(F.broadcast(hot), key)
+        known = known.join(F.broadcast(hot.select(key)), key, "left_anti")
+    else:
+        head = None
+    out = known.join(small(table, table.count()), key, "left").select(*rows.columns, *names)
+    out = out.unionByName(rows.where(F.col(key).isNull()).select(*rows.columns, *nothing))
+    return out if head is None else out.unionByName(head.select(*rows.columns, *names))
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of bytes other than ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
