@@ -19,6 +19,12 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where((n > 0) & (n < float("inf")))
 
 
+def common_length(good: DataFrame) -> int:
+    """The length that most usable vectors have, the smaller of several; 0 without any."""
+    row = good.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    return row["w"] if row else 0
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
