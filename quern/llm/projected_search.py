@@ -10,6 +10,9 @@ The kd-tree has two levels: splits fitted on a bounded sample deal all rows to c
 each cell splits its own rows into leaves.  A query first searches its home cell; the d_k found
 there decides which other cells lie before its stopping point.  Those are searched leaf by
 leaf, nearest projected box first.
+
+A cell that many queries need meets them in several tasks, and a cell of many rows is dealt to several
+tasks: rows move only to cells that a query needs, as often as QUERIES fit into those queries.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import Workspace
-from quern.llm.vectors import stack, unit, usable
+from quern.llm.vectors import common_length, stack, unit, usable
 
 DIMS, CONFIDENCE = 8, 0.98
 #: Rows of a cell and a leaf, on average; rows that the splits are fitted on; bound of the cells.
 CELL, LEAF, SAMPLE, MOST_CELLS = 4096, 64, 20_000, 4096
-#: Queries that meet a cell together.
-QUERIES = 2048
+#: Queries, and rows of a cell, that meet in a task.
+QUERIES, CELL_ROWS = 2048, 16_384
 
 
 def chi_square(x: np.ndarray, dims: int) -> np.ndarray:
@@ -158,17 +161,20 @@ def nearest(
     """(query_id, rank, id, score): for each row of ``queries`` its k nearest of ``rows`` by cosine, without
     its own id, nearest first, ties to the smaller id; all candidates if there are fewer.
 
-    Vectors that are null, zero or hold null or non-finite components, and rows with a null
-    id, take no part on either side.  Of equal vectors only the k + 1 smallest ids can be
-    among the nearest, so no more are kept.  A repeated query row counts once.  Without usable rows or
-    queries the result is empty."""
+    Vectors that are null, zero or hold null or non-finite components, vectors of another length than
+    most of ``rows``, and rows with a null id, take no part on either side.  Of equal vectors only the k + 1
+    smallest ids can be among the nearest, so no more are kept.  A repeated row counts once; a
+    query id with several vectors is asked with one of them, the smallest.  Without usable
+    rows or queries the result is empty.  Other columns are not read."""
     ws = workspace or Workspace(rows.sparkSession, "search")
     good = usable(rows, id_col, vector_col).distinct()
+    width = common_length(good)
+    good = good.where(F.size("v") == width)
     same = Window.partitionBy("v").orderBy("id")
     classes = good.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     classes = ws.table(classes.select("ids", "v"), "classes")
     n = classes.count()
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["id"])
+    asked = usable(queries, id_col, vector_col).where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"))
     if n == 0:
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
     kind = classes.schema["v"].dataType.simpleString()
@@ -185,11 +191,10 @@ def nearest(
 
     coords = ", ".join(f"p{d} double" for d in range(dims))
     cells = ws.table(classes.select(F.col("ids").alias("id"), "v").mapInArrow(place, f"id array<long>, v {kind}, cell long, {coords}"), "cells")
-    bounds = cells.groupBy("cell").agg(*[f(f"p{d}").alias(f"{f.__name__}{d}") for f in (F.min, F.max) for d in range(dims)]).toPandas()  # a row a cell
+    bounds = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), *[f(f"p{d}").alias(f"{f.__name__}{d}") for f in (F.min, F.max) for d in range(dims)]).toPandas()  # a row a cell
     home = asked.mapInArrow(place, f"id long, v {kind}, cell long, {coords}").select("id", "v", "cell")
     home = home.withColumn("far", F.lit(float("inf")))
     home = ws.table(home, "queries")
-    n_q = home.count()
     low, high = (bounds[[f"{f}{d}" for d in range(dims)]].to_numpy() for f in ("min", "max"))
     names = bounds["cell"].to_numpy()
 
@@ -203,13 +208,19 @@ def nearest(
         at, i, s = search_cell(q, q_ids, far, v, ids, g, k, confidence)
         return pa.table([pa.array(q_ids[at]), pa.array(i), pa.array(s)], schema=got)
 
-    def run(asked_rows: DataFrame, parts: int) -> DataFrame:
-        dealt = cells.select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-        asked_rows = asked_rows.select("id", "v", "far", "cell", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-        return asked_rows.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(meet, "query long, id long, score double")
+    row_parts = rows.sparkSession.createDataFrame([(int(c), max(1, math.ceil(m / CELL_ROWS))) for c, m in zip(bounds["cell"], bounds["rows"])], "cell long, rp int")  # a row a cell
+
+    def run(asked_rows: DataFrame) -> DataFrame:
+        asked_rows = ws.table(asked_rows, "asked")
+        wanted = asked_rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qp")).join(row_parts, "cell")
+        wanted = F.broadcast(ws.table(wanted, "wanted"))  # at most MOST_CELLS rows
+        some = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
+        dealt = cells.select("id", "v", "cell").join(wanted, "cell").select("id", "v", "cell", one("id", "rp").alias("r"), some("qp").alias("q"))
+        asked_rows = asked_rows.select("id", "v", "far", "cell").join(wanted, "cell").select("id", "v", "far", "cell", some("rp").alias("r"), one("id", "qp").alias("q"))
+        return asked_rows.groupBy("cell", "r", "q").cogroup(dealt.groupBy("cell", "r", "q")).applyInArrow(meet, "query long, id long, score double")
 
-    parts = max(1, math.ceil(n_q / QUERIES))
-    first = ws.table(run(home, max(1, math.ceil(parts / max(1, len(names))))), "home")
+    first = ws.table(run(home), "home")
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     kth = first.withColumn("r", F.row_number().over(ranked)).where(F.col("r") == k).select("query", (2 - 2 * F.col("score")).alias("d2"))
     known = home.join(kth, home["id"] == kth["query"], "left").select("id", "v", "cell", F.coalesce("d2", F.lit(float("inf"))).alias("far"))
@@ -226,6 +237,6 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), take.column(3), pa.array(names[c], pa.int64())], names=["id", "v", "far", "cell"])
 
     further = known.mapInArrow(others, f"id long, v {kind}, far double, cell long")
-    rest = run(further, parts)
+    rest = run(further)
     best = first.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return best.select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
