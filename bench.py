@@ -9,7 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 HEADLINE = (
-    "bm25_topk", "phrase", "and", "prefix", "bool_must_should", "agg_terms_sub", "agg_terms_nested", "agg_histogram", "agg_date_day", "agg_percentiles", "agg_range",
+    "index_postings", "bm25_topk", "phrase", "and", "prefix", "bool_must_should", "agg_terms_sub", "agg_terms_nested", "agg_histogram", "agg_date_day", "agg_percentiles", "agg_range",
     "knn_cosine", "hybrid_rrf", "hybrid_weighted_max_norm", "merge_normalized", "decay_gauss", "score_function", "top_terms", "suggest_fuzzy", "more_like_this",
     "upsert", "export_import", "graph_bfs", "html_strip",
 )

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.ast import QueryError
+from quern.sources.storage import written
 
 
 def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """The last write of an id wins."""
-    return nodes.join(new.select("id"), "id", "left_anti").unionByName(new.dropDuplicates(["id"]))
+    """The last write of an id wins.  Among new rows of one id that is the one of the largest ``seq``, if
+    there is that column, else the greatest row."""
+    rest = [c for c in nodes.columns if c != "id"]
+    order = F.struct(*(["seq"] if "seq" in new.columns else []), *rest)
+    last = new.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("r")).select("id", *[F.col(f"r.{c}").alias(c) for c in rest])
+    return nodes.join(new.select("id"), "id", "left_anti").unionByName(last)
 
 
 def remove_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,8 +57,11 @@ def bfs(edges: DataFrame, start: DataFrame, depth: int = 3, edge_type: str | Non
     return seen.where("depth > 0")
 
 
-def shortest_path(edges: DataFrame, start, target, types: list[str] | None = None, most: int = 1000) -> list | None:
-    """The ids of the cheapest path, or nothing.  Distances are relaxed until none falls."""
+def shortest_path(edges: DataFrame, start, target, types: list[str] | None = None) -> list | None:
+    """The ids of the cheapest path, or nothing.  Distances are relaxed until none falls; weights are not
+    negative, so that comes to an end."""
+    if not edges.where("weight < 0").isEmpty():
+        raise QueryError("an edge has a negative weight")
     if start == target:
         return [start]
     e = (edges.where(F.col("edge_type").isin(types)) if types else edges).groupBy("src", "dst").agg(F.min("weight").cast("double").alias("w"))
@@ -61,7 +69,7 @@ def shortest_path(edges: DataFrame, start, target, types: list[str] | None = Non
     kind = dict(edges.dtypes)["src"]
     best = spark.createDataFrame([(start, 0.0, None)], f"id {kind}, cost double, prior {kind}")
     frontier = best
-    for _ in range(most):
+    while True:
         step = e.join(frontier.select(F.col("id").alias("src"), "cost"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("prior"))).alias("m")).select("id", "m.cost", "m.prior")
         old = best.select(F.col("id").alias("o"), F.col("cost").alias("oc"))
         frontier = _cut(step.join(old, step["id"] == old["o"], "left").where(F.col("oc").isNull() | (F.col("cost") < F.col("oc"))).select("id", "cost", "prior"))
@@ -84,6 +92,21 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def stats(edges: DataFrame) -> DataFrame:
+    """(edge_type, edges)."""
+    return edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def save(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Both tables in one folder; edges by type, so that a walk along one type reads only that."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/edges")
+
+
+def load(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where the cluster has a folder for it, else the plan as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """A written table, so that levels do not pile up lineage."""
+    return written(df, "graph")

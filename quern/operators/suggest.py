@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import default_tokens
 from quern.plans.ast import Or, QueryError, Term
 from quern.plans.search import Collection, search
 
+#: So many words of a text are pushed down to the term table; more are joined.
+MOST_PUSHED = 1000
+
 
 def vocabulary(df: DataFrame, text_cols: list[str]) -> DataFrame:
     """(term, doc_freq): documents that hold a term, summed over the fields."""
@@ -19,16 +22,16 @@ def vocabulary(df: DataFrame, text_cols: list[str]) -> DataFrame:
     return parts.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
-def top_terms(df: DataFrame, text_cols: list[str], limit: int = 25) -> DataFrame:
-    return vocabulary(df, text_cols).orderBy(F.desc("doc_freq"), "term").limit(limit)
+def top_terms(vocab: DataFrame, limit: int = 25) -> DataFrame:
+    return vocab.orderBy(F.desc("doc_freq"), "term").limit(limit)
 
 
 def suggest_prefix(vocab: DataFrame, prefix: str, size: int = 5) -> DataFrame:
     """(term, score, doc_freq): terms that start so, scored by frequency over the most frequent's."""
     hits = vocab.where(F.col("term").startswith(prefix))
-    top = hits.agg(F.max("doc_freq").alias("top"))
-    scored = hits.crossJoin(F.broadcast(top)).select("term", F.round(F.col("doc_freq") / F.col("top"), 6).alias("score"), "doc_freq")
-    return scored.orderBy(F.desc("score"), "term").limit(size)
+    best = hits.orderBy(F.desc("doc_freq"), "term").limit(size)  # the most frequent of all is its first row
+    top = F.max("doc_freq").over(Window.partitionBy(F.lit(0)))
+    return best.select("term", (F.col("doc_freq") / top).alias("score"), "doc_freq").orderBy(F.desc("score"), "term")
 
 
 def suggest_fuzzy(vocab: DataFrame, word: str, distance: int = 2, size: int = 5) -> DataFrame:
@@ -36,13 +39,16 @@ def suggest_fuzzy(vocab: DataFrame, word: str, distance: int = 2, size: int = 5)
     d = F.levenshtein(F.col("term"), F.lit(word))
     near = vocab.where(F.abs(F.length("term") - len(word)) <= distance).where((d <= distance) & ~F.col("term").startswith(word))
     longer = F.greatest(F.length("term"), F.lit(len(word))).cast("double")
-    scored = near.select("term", F.round((1 - d / longer) * 0.8, 6).alias("score"), "doc_freq")
+    scored = near.select("term", ((1 - d / longer) * 0.8).alias("score"), "doc_freq")
     return scored.orderBy(F.desc("score"), F.desc("doc_freq"), "term").limit(size)
 
 
 def suggest(vocab: DataFrame, word: str, size: int = 5, distance: int = 2) -> DataFrame:
-    """Terms that start with the word; if they are too few, then near ones too."""
-    both = suggest_prefix(vocab, word, size).unionByName(suggest_fuzzy(vocab, word, distance, size))
+    """Terms that start with the word; if they are fewer than ``size``, near ones fill up."""
+    prefix = suggest_prefix(vocab, word, size)
+    if prefix.count() >= size:
+        return prefix
+    both = prefix.unionByName(suggest_fuzzy(vocab, word, distance, size))
     return both.groupBy("term").agg(F.max("score").alias("score"), F.max("doc_freq").alias("doc_freq")).orderBy(F.desc("score"), F.desc("doc_freq"), "term").limit(size)
 
 
@@ -52,7 +58,7 @@ def corrections(vocab: DataFrame, words: DataFrame, word_col: str = "word", leas
     w = F.broadcast(words.select(F.lower(F.col(word_col)).alias("word")).distinct())
     longer = F.greatest(F.octet_length("term"), F.octet_length("word")).cast("double")
     pairs = vocab.join(w, (F.abs(F.length("term") - F.length("word")) <= F.length("word")) & (F.col("term") != F.col("word")))
-    scored = pairs.withColumn("score", F.round(1 - F.levenshtein("term", "word") / longer, 6)).where(F.col("score") > least)
+    scored = pairs.withColumn("score", 1 - F.levenshtein("term", "word") / longer).where(F.col("score") > least)
     best = scored.groupBy("word").agg(F.max(F.struct("score", "doc_freq", F.expr("transform(split(term, ''), x -> -ascii(x))").alias("o"), "term")).alias("b"))
     return best.select("word", F.col("b.term").alias("correction"), F.col("b.score").alias("score"))
 
@@ -75,10 +81,11 @@ def like_terms(c: Collection, text: str, fields: list[str], min_tf: int = 2, min
     spark = c.df.sparkSession
     words = [w for w in text.lower().split() if len(w.encode()) >= 2]
     tf = spark.createDataFrame([(w,) for w in words], "term string").groupBy("term").agg(F.count(F.lit(1)).alias("tf")).where(F.col("tf") >= min_tf)
-    df = vocabulary(c.df, fields).where(F.col("doc_freq") >= min_df)
-    n = float(c.df.count())
-    score: Column = F.round(F.col("tf") * (F.log(F.lit(n) / (1 + F.col("doc_freq"))) + 1), 6)
-    return df.join(F.broadcast(tf), "term").select("term", score.alias("score")).orderBy(F.desc("score"), "term").limit(limit)
+    vocab = vocabulary(c.df, fields) if c.index is None else c.index.vocabulary(fields)
+    df = vocab.where(F.col("term").isin(list(set(words)))) if len(words) <= MOST_PUSHED else vocab
+    n = float(c.df.count() if c.index is None else c.index.n)
+    score: Column = F.col("tf") * (F.log(F.lit(n) / (1 + F.col("doc_freq"))) + 1)
+    return df.where(F.col("doc_freq") >= min_df).join(F.broadcast(tf), "term").select("term", score.alias("score")).orderBy(F.desc("score"), "term").limit(limit)
 
 
 def more_like_this(c: Collection, *, doc_id=None, text: str | None = None, fields: list[str] | None = None, size: int = 10, **how) -> DataFrame:
@@ -92,8 +99,8 @@ def more_like_this(c: Collection, *, doc_id=None, text: str | None = None, field
     terms = [r["term"] for r in like_terms(c, text, fields, **how).collect()] if text else []  # at most ``limit`` terms
     if not terms:
         return search(c, Or(())).limit(0)
-    others = Collection(c.df if doc_id is None else c.df.where(F.col(c.id_col) != doc_id), c.id_col, c.text_fields, c.weights, c.k1, c.b)
-    return search(others, Or(tuple(Term(t) for t in terms)), limit=size, fields=fields)
+    page = search(c, Or(tuple(Term(t) for t in terms)), limit=size + (doc_id is not None), fields=fields)
+    return page if doc_id is None else page.where(F.col(c.id_col) != doc_id).limit(size)
 
 
 def reconstruct(c: Collection, doc_id) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quern.operators.aggregations import aggregate, facets
 from quern.plans import es
 from quern.plans.ast import MatchAll, Range, Term, Terms
+from quern.operators import es_search
 from quern.plans.search import Collection, matches, search
-from quern.queries_search import W1, docs, read
+from quern.queries_search import W1, _sql, docs, read
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -85,5 +86,45 @@ def es_request(spark, sf_dir: str) -> DataFrame:
 
 QUERIES["es_aggregation"] = es_request
 SQL["es_aggregation"] = "SELECT l_returnflag AS key, count(*) AS doc_count, round(sum(l_quantity), 4) AS q FROM lineitem WHERE l_quantity >= 10 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
-QUERIES["facets_page"] = lambda s, d: facets(search(docs(s, d), MatchAll(), limit=100, columns=["lang"]), "lang")
-SQL["facets_page"] = "SELECT lang AS key, count(*) AS doc_count FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 100) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
+
+
+def _facets(part: str, how: dict):
+    def query(spark, sf_dir: str) -> DataFrame:
+        c = docs(spark, sf_dir)
+        out = facets(c, search(c, MatchAll(), limit=100, columns=["lang", "n_chars"]), {part: how}, ["lang", "n_chars"])[part]
+        return out.select(*[F.round(x, 4).alias(x) if kind == "double" else x for x, kind in out.dtypes])
+
+    return query
+
+
+_hundred = "(SELECT * FROM documents ORDER BY doc_id LIMIT 100)"
+QUERIES["facets_page"] = _facets("lang", {})
+SQL["facets_page"] = f"SELECT lang AS key, count(*) AS doc_count FROM {_hundred} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
+QUERIES["facets_range"] = _facets("n_chars", {"type": "range", "ranges": [{"to": 500}, {"from": 500}]})
+SQL["facets_range"] = f"SELECT key, doc_count FROM (VALUES ('*-500', (SELECT count(*) FROM {_hundred} WHERE n_chars < 500)), ('500-*', (SELECT count(*) FROM {_hundred} WHERE n_chars >= 500))) v(key, doc_count)"
+QUERIES["facets_stats"] = _facets("n_chars", {"type": "stats"})
+SQL["facets_stats"] = f"SELECT count(n_chars) AS n_chars_count, min(n_chars)::DOUBLE AS n_chars_min, max(n_chars)::DOUBLE AS n_chars_max, sum(n_chars)::DOUBLE AS n_chars_sum, round(avg(n_chars), 4) AS n_chars_avg FROM {_hundred}"
+add("agg_date_range", "events", "event_id", {"type": "date_range", "field": "ts", "ranges": [{"key": "early", "to": "2024-01-10T00:00:00Z"}, {"key": "late", "from": "2024-01-10T00:00:00Z"}]}, "SELECT CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'early' ELSE 'late' END AS key, count(*) AS doc_count FROM events GROUP BY 1")
+add("agg_histogram_nested", "lineitem", "l_orderkey", {"type": "terms", "field": "l_returnflag", "aggs": {"h": {"type": "histogram", "field": "l_quantity", "interval": 10, "min_doc_count": 2000}}}, "SELECT l_returnflag AS a, floor(l_quantity / 10.0) * 10.0::DOUBLE AS h, count(*) AS doc_count FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2000", part="a>h")
+add("agg_range_close", "orders", "o_orderkey", {"type": "range", "field": "o_orderkey", "ranges": [{"from": 1234567, "to": 1234568}, {"from": 1234566, "to": 1234567}, {"from": 100, "to": 200}]}, "SELECT key, doc_count FROM (VALUES ('1234567-1234568', (SELECT count(*) FROM orders WHERE o_orderkey = 1234567)), ('1234566-1234567', (SELECT count(*) FROM orders WHERE o_orderkey = 1234566)), ('100-200', (SELECT count(*) FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200))) v(key, doc_count)")
+add("agg_terms_order", "events", "event_id", {"type": "terms", "field": "event_type", "order": {"_key": "asc"}, "size": 3, "min_doc_count": 1}, "SELECT event_type AS key, count(*) AS doc_count FROM events GROUP BY 1 ORDER BY 1 LIMIT 3")
+_PAGE = {"query": {"match": {"text": W1}}, "size": 5, "sort": [{"n_chars": "desc"}], "_source": ["lang", "n_chars"]}
+QUERIES["es_page"] = lambda s, d: es_search.run(docs(s, d), _PAGE)["hits"].select("doc_id", "lang", "n_chars", F.round("score", 6).alias("score"))
+SQL["es_page"] = f"SELECT doc_id, lang, n_chars, round(score, 6) AS score FROM ({_sql([W1], 'tf0 > 0', 'e0', columns='doc_id, lang, n_chars')}) ORDER BY n_chars DESC, doc_id LIMIT 5"
+
+
+def _cat(spark, sf_dir: str) -> DataFrame:
+    return es_search.cat_indices({t: Collection(read(spark, sf_dir, t), i, {i: "raw"}) for t, i in (("documents", "doc_id"), ("pages", "page_id"))}).select("index", "docs")
+
+
+QUERIES["es_cat_indices"] = _cat
+SQL["es_cat_indices"] = "SELECT 'documents' AS index, count(*) AS docs FROM documents UNION ALL SELECT 'pages', count(*) FROM pages"
+
+
+def _msearch(spark, sf_dir: str) -> DataFrame:
+    got = es_search.msearch({"documents": docs(spark, sf_dir)}, ['{"index": "documents"}', '{"query": {"match": {"text": "%s"}}}' % W1, '{"index": "none"}', "{}", '{"index": "doc*"}', '{"query": {"nope": {}}}'])
+    return spark.createDataFrame([(i, r["status"], r["hits"]["total"]["value"] if "hits" in r else None) for i, r in enumerate(got)], "i int, status int, total long")
+
+
+QUERIES["es_msearch"] = _msearch
+SQL["es_msearch"] = r"SELECT 0 AS i, 200 AS status, (SELECT count(*) FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), 'thing')) AS total UNION ALL SELECT 1, 400, NULL UNION ALL SELECT 2, 400, NULL"

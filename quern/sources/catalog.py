@@ -6,7 +6,8 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 PHASES = ("hot", "warm", "cold", "frozen", "delete")
 
@@ -19,6 +20,7 @@ class Catalog:
     aliases: dict[str, list[str]] = field(default_factory=dict)
     write: dict[str, str] = field(default_factory=dict)
     readonly: set[str] = field(default_factory=set)
+    phases: dict[str, str] = field(default_factory=dict)
 
     def resolve(self, name: str) -> list[str]:
         return self.aliases.get(name, [name])
@@ -42,6 +44,32 @@ class Catalog:
                 new[alias].append(target)
         self.aliases = {k: v for k, v in new.items() if v}
 
+    def transition(self, name: str, policy: dict[str, float], age: float, optimize=None) -> str | None:
+        """Moves a collection to the next phase of its policy.  What has left hot is read-only; warm and later
+        ones are merged by ``optimize``(table), if given; delete only marks."""
+        phase = next_phase(policy, self.phases.get(name, "hot"), age)
+        return phase and self.force_phase(name, phase, optimize)
+
+    def force_phase(self, name: str, phase: str, optimize=None) -> str:
+        if phase not in PHASES or name not in self.tables:
+            raise KeyError(f"no such phase or collection: {phase}, {name}")
+        self.phases[name] = phase
+        if phase != "hot":
+            self.readonly.add(name)
+        if optimize is not None and phase in ("warm", "cold", "frozen"):
+            self.tables[name] = optimize(self.tables[name])
+        return phase
+
+    def run_deletions(self) -> list[str]:
+        """Drops the collections marked for deletion from the catalog and from all aliases."""
+        gone = [n for n, p in self.phases.items() if p == "delete" and n in self.tables]
+        for name in gone:
+            del self.tables[name], self.phases[name]
+            self.readonly.discard(name)
+            self.aliases = {k: left for k, v in self.aliases.items() if (left := [t for t in v if t != name])}
+            self.write = {k: v for k, v in self.write.items() if v != name}
+        return gone
+
     def rollover(self, alias: str, day: str) -> str:
         """A new, empty write target with the schema of the last; the last becomes read-only."""
         old = self.write.get(alias) or self.resolve(alias)[-1]
@@ -74,6 +102,24 @@ def next_phase(policy: dict[str, float], current: str, age: float) -> str | None
     return None
 
 
+def phase_column(policy: dict[str, float], current: Column, age: Column) -> Column:
+    """``next_phase`` for a table of collections; null where none is reached."""
+    out = F.lit(None).cast("string")
+    for now in PHASES:
+        later = F.lit(None).cast("string")
+        for phase in reversed(PHASES[PHASES.index(now) + 1 :]):
+            later = F.when(age >= policy[phase], phase).otherwise(later) if phase in policy else later
+        out = F.when(current == now, later).otherwise(out)
+    return out
+
+
+def reasons_column(conditions: dict, *, size: Column, documents: Column, age: Column) -> Column:
+    """``rollover_reasons`` for a table of collections."""
+    have = {"max_size": size, "max_docs": documents, "max_age": age}
+    met = [F.when(c >= conditions[k], k) for k, c in have.items() if conditions.get(k) is not None]
+    return F.array_compact(F.array(*met)) if met else F.array().cast("array<string>")
+
+
 def glob(pattern: str, name: str) -> bool:
     return re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern), name) is not None
 
@@ -88,3 +134,19 @@ def apply_template(schema: dict, template: dict) -> dict:
     """A schema with the template's fields that it lacks."""
     have = {f["name"] for f in schema.get("fields", [])}
     return schema | {"fields": [*schema.get("fields", []), *[f for f in template.get("fields", []) if f["name"] not in have]]}
+
+
+NAME = re.compile(r"[a-z0-9][a-z0-9._-]{0,254}")
+
+
+def check_name(name: str) -> str:
+    """A collection's name: lower-case letters, digits, ``.``, ``_`` and ``-``, beginning with a letter or digit."""
+    if not NAME.fullmatch(name) or ".." in name:
+        raise ValueError(f"not a collection name: {name!r}")
+    return name
+
+
+def audit(events: DataFrame) -> DataFrame:
+    """Security events (ts, user, action, collection, allowed) as documents of an audit collection."""
+    key = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("ts", "user", "action", "collection", "allowed")]), 256)
+    return events.select(key.alias("id"), F.col("ts").alias("timestamp"), "user", "action", "collection", F.when(F.col("allowed"), "allowed").otherwise("denied").alias("outcome")).dropDuplicates(["id"])

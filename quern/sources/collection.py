@@ -77,40 +77,56 @@ def coerce(rows: DataFrame, schema: Schema) -> DataFrame:
     return rows.select(*out)
 
 
-def bulk(lines: DataFrame) -> DataFrame:
+def bulk(lines: DataFrame, request_col: str | None = None) -> DataFrame:
     """(seq, op, index, id, source, error) of NDJSON lines (``value``, ``line`` in order): an action line and,
     but for a delete, a document line.  A missing id gets a name from the line's number.
 
-    Only ids of lines are windowed over; a request holds at most MOST_BULK_ACTIONS actions."""
-    order = Window.orderBy("line")
-    rows = lines.where(F.trim("value") != "").withColumn("after", F.lead("value").over(order)).withColumn("kind", F.regexp_extract("value", r'^\s*\{\s*"(index|create|delete|update)"\s*:\s*\{', 1))
+    Lines are paired within a request, which holds at most MOST_BULK_ACTIONS actions; all actions of a
+    longer one are errors.  ``request_col`` names the request of each line (a file, say); without
+    it all lines are one request."""
+    request = F.lit(0) if request_col is None else F.col(request_col)
+    own = Window.partitionBy("__request")
+    order = own.orderBy("line")
+    rows = lines.withColumn("__request", request).where(F.trim("value") != "").withColumn("after", F.lead("value").over(order)).withColumn("kind", F.regexp_extract("value", r'^\s*\{\s*"(index|create|delete|update)"\s*:\s*\{', 1))
     # a document may look like an action: an action's document is the line after it
     rows = rows.withColumn("was", F.lag("kind").over(order))
     rows = rows.where((F.col("kind") != "") & ~F.coalesce(F.col("was").isin("index", "create", "update"), F.lit(False)))
     field = lambda name: F.expr(f"get_json_object(value, concat('$.', kind, '.{name}'))")
     index = field("_index")
-    error = F.when(index.contains("*") | index.contains("?"), "wildcard index").when((F.col("kind") != "delete") & (F.col("after").isNull() | F.expr("try_parse_json(after)").isNull()), "no document").when((F.col("kind") == "delete") & field("_id").isNull(), "no id")
+    error = (
+        F.when(F.count(F.lit(1)).over(own) > MOST_BULK_ACTIONS, "too many actions").when(index.contains("*") | index.contains("?"), "wildcard index")
+        .when((F.col("kind") != "delete") & (F.col("after").isNull() | F.expr("try_parse_json(after)").isNull()), "no document").when((F.col("kind") == "delete") & field("_id").isNull(), "no id")
+    )
     return rows.select(F.col("line").alias("seq"), F.col("kind").alias("op"), index.alias("index"), F.coalesce(field("_id"), F.concat(F.lit("auto-"), F.col("line").cast("string"))).alias("id"), F.when(F.col("kind") != "delete", F.col("after")).alias("source"), error.alias("error"))
 
 
 def export_lines(table: DataFrame, schema: dict, id_col: str = "id") -> DataFrame:
-    """JSON lines (``value``): a header with the schema and the count, then the documents."""
+    """JSON lines (``value``): a header with the schema, the count and the check value, then the documents."""
     spark = table.sparkSession
-    n = table.count()
-    header = spark.createDataFrame([(0, json.dumps({"format": "quern-portable", "version": 1, "documents": n, "schema": schema}))], "o int, value string")
     body = table.select(F.lit(1).alias("o"), F.to_json(F.struct(F.col(id_col).alias("id"), F.struct(*[c for c in table.columns if c != id_col]).alias("fields")), {"ignoreNullFields": "false"}).alias("value"))
+    row = body.agg(F.count(F.lit(1)).alias("n"), checksum().alias("sum")).first()
+    header = spark.createDataFrame([(0, json.dumps({"format": "quern-portable", "version": 1, "documents": row["n"], "checksum": row["sum"], "schema": schema}))], "o int, value string")
     return header.unionAll(body)
 
 
-def checksum(lines: DataFrame) -> Column:
-    """Order-free check value of lines: the number and the XOR of 64-bit hashes."""
-    return F.concat_ws("-", F.count(F.lit(1)), F.bit_xor(F.xxhash64("value")))
+def checksum() -> Column:
+    """Order-free check value of lines (``value``): their number and the XOR of their 64-bit hashes."""
+    return F.concat_ws("-", F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0)))
 
 
-def import_lines(lines: DataFrame, fields: str) -> DataFrame:
-    """The documents of exported lines; ``fields``: a DDL of the columns beside the id."""
-    parsed = lines.where(~F.col("value").startswith('{"format"')).select(F.from_json("value", f"id string, fields struct<{fields}>").alias("d"))
-    return parsed.select("d.id", "d.fields.*")
+def import_lines(lines: DataFrame, fields: str, verify: bool = True) -> DataFrame:
+    """The documents of exported lines; ``fields``: a DDL of the columns beside the id.  Lines that lack the header
+    or differ from its check value are an error."""
+    head = F.col("value").startswith('{"format"')
+    documents = lines.where(~head)
+    if verify:
+        first = lines.where(head).select("value").first()
+        header = json.loads(first["value"]) if first else {}
+        if header.get("format") != "quern-portable" or header.get("version") != 1:
+            raise QueryError("no header of an export")
+        if header.get("checksum") not in (None, documents.agg(checksum().alias("sum")).first()["sum"]):
+            raise QueryError("the lines differ from what was exported")
+    return documents.select(F.from_json("value", f"id string, fields struct<{fields}>").alias("d")).select("d.id", "d.fields.*")
 
 
 def encrypt(lines: DataFrame, key: bytes) -> DataFrame:
@@ -127,16 +143,34 @@ def snapshot(table: DataFrame, path: str) -> None:
     table.write.option("compression", "zstd").parquet(path)
 
 
-def optimize(table: DataFrame, path: str, files: int) -> DataFrame:
-    """The table rewritten in ``files`` files."""
-    table.repartition(files).write.mode("overwrite").parquet(path)
+def restore(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """A snapshot's rows as a table at ``to``."""
+    spark.read.parquet(path).write.mode("errorifexists").parquet(to)
+    return spark.read.parquet(to)
+
+
+def files_of(table: DataFrame) -> DataFrame:
+    """(file, documents, bytes) of a table's files."""
+    return table.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("documents"), F.first("_metadata.file_size").alias("bytes"))
+
+
+def optimize(table: DataFrame, path: str, most: int = 1) -> DataFrame:
+    """The table merged into one file for each 512 MB if it has more than ``most`` files, else as it is."""
+    if len(table.inputFiles()) <= most:
+        return table
+    size = stats(table).first()["bytes"]
+    table.repartition(max(1, -(-size // (512 << 20)))).write.mode("errorifexists").parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def detach(spark: SparkSession, path: str, to: str) -> None:
-    """Moves a collection's folder away; ``attach`` moves it back.  An empty collection is refused."""
-    if spark.read.parquet(path).isEmpty():
+def detach(spark: SparkSession, path: str, to: str, backup: str | None = None) -> None:
+    """Moves a collection's folder away, after a snapshot at ``backup`` if one is named; ``attach`` moves it back.
+    An empty collection is refused."""
+    table = spark.read.parquet(path)
+    if table.isEmpty():
         raise QueryError("an empty collection is not detached")
+    if backup:
+        snapshot(table, backup)
     _move(spark, path, to)
 
 

@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from quern.streaming.upserts import read_stream, upsert_stream, windowed_counts
+from quern.streaming.upserts import read_stream, read_upserts, upsert_stream, windowed_counts
 
 
 def test_stream_upserts_keep_the_last_row(spark, tmp_path):
@@ -8,10 +8,11 @@ def test_stream_upserts_keep_the_last_row(spark, tmp_path):
     spark.createDataFrame([("1", 1, "a"), ("2", 2, "b"), ("1", 3, "c")], schema).write.parquet(str(tmp_path / "in"))
     run = lambda: upsert_stream(read_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     run()
-    spark.createDataFrame([("2", 4, "d"), ("3", 5, "e")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("2", 4, "d"), ("3", 5, "e"), ("1", 2, "late")], schema).write.mode("append").parquet(str(tmp_path / "in"))
     run()
-    last = max(int(p.name[1:]) for p in (tmp_path / "out").iterdir())
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out" / f"v{last}")).collect()) == [("1", "c"), ("2", "d"), ("3", "e")]
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "manifest").iterdir())
+    assert last == 1
+    assert sorted((r["id"], r["v"]) for r in read_upserts(spark, str(tmp_path / "out"), last).collect()) == [("1", "c"), ("2", "d"), ("3", "e")]
 
 
 def test_windowed_counts(spark, tmp_path):
