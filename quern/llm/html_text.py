@@ -2,10 +2,12 @@
 
 The tree builder closes what HTML lets authors leave open (paragraphs, list items, table parts,
 options) and puts what stands in a wrong place where it belongs well enough for text.  The renderer
-drops what is never shown (scripts, styles, hidden and display-less elements), collapses white
+drops what is never shown (scripts, styles, elements hidden by attributes, inline styles or simple
+selectors of the page's style sheets; what is visible inside an invisible element stays), collapses white
 space as a browser would, starts blocks on lines of their own, leaves an empty line around
 paragraphs, headings and lists, numbers or bullets list items by depth, keeps
-preformatted text, and pads table cells so that columns line up.
+preformatted text, and pads table cells so that columns line up, cells of several rows and columns too.
+Tables are laid out from the inside out, so that no depth of nesting is too deep.
 """
 
 from __future__ import annotations
@@ -39,15 +41,21 @@ CLOSES = {
 }
 _TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(!|\?|/(?=[^a-zA-Z>]))[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|/>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+_AT_RULE = re.compile(r"/\*.*?(?:\*/|\Z)|@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*(?:\}|\Z))", re.S)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "style", "lines")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.style: str = attributes.get("style", "") if attributes else ""
+        self.lines: list[str] = []  # of a table, once it is laid out
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -160,7 +168,56 @@ def visible(node: Node) -> bool:
         return False
     if node.tag == "dialog" and "open" not in a:
         return False
-    return not ("style" in a and _HIDDEN.search(a["style"]))
+    return not (node.style and _last(_DISPLAY, node.style) == "none")
+
+
+def _last(pattern: re.Pattern, style: str) -> str | None:
+    found = pattern.findall(style)
+    return found[-1].lower() if found else None
+
+
+def _sheet(sheets: list[str]) -> dict[str, list[tuple[frozenset[str], str]]]:
+    """Rules of one element each, by a class, id or tag that they need: (all needs, declarations)."""
+    rules: dict[str, list[tuple[frozenset[str], str]]] = {}
+    for text in sheets:
+        if "none" not in text and "hidden" not in text and "collapse" not in text:
+            continue
+        for selectors, declarations in _RULE.findall(_AT_RULE.sub("", text)):
+            if "display" not in declarations and "visibility" not in declarations:
+                continue
+            for selector in selectors.split(","):
+                m = _SELECTOR.fullmatch(selector.strip())
+                if m and m[0]:
+                    needs = re.findall(r"[.#][\w-]+", m[2]) + ([m[1].lower()] if m[1] else [])
+                    rules.setdefault(needs[0], []).append((frozenset(needs), declarations))
+    return rules
+
+
+def resolve(root: Node) -> list[Node]:
+    """Puts style sheets' rules before inline styles, takes invisible text out, and lists all tables, outer ones first."""
+    sheets, tables, todo = [], [], [root]
+    while todo:
+        x = todo.pop()
+        if x.tag == "style":
+            sheets += [c for c in x.children if isinstance(c, str)]
+        elif x.tag == "table":
+            tables.append(x)
+        todo += [c for c in reversed(x.children) if isinstance(c, Node)]
+    rules = _sheet(sheets)
+    hidden: list[tuple[Node, bool]] = [(root, False)]
+    while hidden:
+        x, unseen = hidden.pop()
+        if rules:
+            names = [x.tag, "*", *("." + c for c in x.attributes.get("class", "").split()), *(["#" + x.attributes["id"]] if "id" in x.attributes else [])]
+            own = [d for n in names for needs, d in rules.get(n, ()) if needs <= set(names)]
+            if own:
+                x.style = ";".join([*own, x.style])
+        if x.style and (how := _last(_VISIBILITY, x.style)) in ("hidden", "collapse", "visible"):
+            unseen = how != "visible"
+        if unseen:
+            x.children = [c for c in x.children if isinstance(c, Node) and (c.tag not in ("img", "input", "textarea", "hr", "br") or "visible" in c.style)]
+        hidden += [(c, unseen) for c in x.children if isinstance(c, Node)]
+    return tables
 
 
 class _Lines:
@@ -214,6 +271,7 @@ def _width(text: str) -> int:
 
 
 def render(node: Node) -> list[str]:
+    """The lines of a part of the tree whose tables have been laid out."""
     out = _Lines()
     # an explicit stack: pages may be nested deeper than Python calls
     todo: list[tuple] = [("open", node, 0)]
@@ -225,7 +283,7 @@ def render(node: Node) -> list[str]:
             out.word(x)
         elif what == "item":
             item, mark = x
-            if visible(item):
+            if visible(item) and item.children:
                 out.end(1)
                 out.word("  " * depth + mark)
                 todo.append(("gap", 1, depth))
@@ -255,7 +313,7 @@ def render(node: Node) -> list[str]:
             out.end(2 if x.tag == "pre" else 1)
         elif x.tag == "table":
             out.end(2)
-            out.whole(_table(x))
+            out.whole(x.lines)
             out.end(2)
         elif x.tag in ("ul", "ol", "menu", "dir"):
             gap = 1 if depth else 2
@@ -320,11 +378,30 @@ def _strays(part: Node) -> Iterator[Node]:
                 yield from _strays(c)
 
 
-def _span(cell: Node) -> int:
-    value = cell.attributes.get("colspan", "1")
+def _span(cell: Node, name: str = "colspan") -> int:
+    value = cell.attributes.get(name, "1")
     return min(max(int(value), 1), 1000) if value.isdecimal() and len(value) < 6 else 1
 
 
+def _placed(rows: list[list[Node]]) -> list[list[tuple[int, list[str], int]]]:
+    """Cells of each row as (column, lines, columns): those of earlier rows that reach down keep their columns."""
+    out = []
+    busy: dict[int, int] = {}  # column: rows below that are still taken
+    for row in rows:
+        placed, at, down = [], 0, {}
+        for cell in row:
+            while busy.get(at):
+                at += 1
+            span, deep = _span(cell), _span(cell, "rowspan")
+            placed.append((at, render(cell) or [""], span))
+            if deep > 1:
+                down |= dict.fromkeys(range(at, at + span), deep - 1)
+            at += span
+        busy = {k: n - 1 for k, n in busy.items() if n > 1} | down
+        out.append(placed)
+    return out
+
+
 def _table(table: Node) -> list[str]:
     """Captions and what stands outside cells, then rows of cells padded to the columns' widths; cells of several lines stack."""
     out: list[str] = []
@@ -336,22 +413,21 @@ def _table(table: Node) -> list[str]:
             out += render(c)
     for block in _strays(table):
         out += render(block)
-    rows = [[(render(c) or [""], _span(c)) for c in row] for row in _rows(table)]
+    rows = _placed(list(_rows(table)))
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for lines, span in row:
+        for at, lines, span in row:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), *map(_width, lines))
-            at += span
     for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
             at, parts = 0, []
-            for lines, span in row:
-                room = sum(widths.get(at + i, 0) for i in range(span)) + 3 * (span - 1)
+            for place, lines, span in row:
+                parts += [" " * widths.get(i, 0) for i in range(at, place)]
+                room = sum(widths.get(place + i, 0) for i in range(span)) + 3 * (span - 1)
                 cell = lines[k] if k < len(lines) else ""
                 parts.append(cell + " " * max(0, room - _width(cell)))
-                at += span
+                at = place + span
             out.append(" | ".join(parts).rstrip())
     return out
 
@@ -360,7 +436,10 @@ def to_text(source: str | None) -> str | None:
     """The visible text of a page; null stays null, an empty page has an empty text."""
     if source is None:
         return None
-    lines = render(build(source))
+    root = build(source)
+    for table in reversed(resolve(root)):  # inner ones first
+        table.lines = _table(table)
+    lines = render(root)
     while lines and not lines[-1].strip():
         lines.pop()
     return "\n".join(lines).lstrip("\n")
