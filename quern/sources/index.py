@@ -22,6 +22,12 @@ ROW_GROUP = 4 << 20
 BROADCAST_IDS = 1_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer tasks than there are cores, dealt to all of them; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tokenised(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     """(id, field, dl, place, term): every token of every field."""
     none = F.array().cast("array<string>")
@@ -36,7 +42,7 @@ def postings_of(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame
     One shuffle, by range: a word that most documents hold is split among tasks by id, and rows of one
     word and document meet in one task without another exchange."""
     keys = ["field", "term", "id"]
-    rows = tokenised(df, id_col, fields).select("field", "term", "id", "dl", "place").repartitionByRange(*keys)
+    rows = tokenised(spread(df.select(id_col, *fields)), id_col, fields).select("field", "term", "id", "dl", "place").repartitionByRange(*keys)
     grouped = rows.groupBy(*keys).agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list("place")).alias("places"))
     return grouped.select(*keys, F.size("places").alias("tf"), "dl", "places").sortWithinPartitions(*keys)
 
