@@ -158,11 +158,12 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     chosen = labelled.select("lang", "id").distinct().withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= texts_per_language).select("lang", "id")
     n_languages = labelled.select("lang").distinct().count()
     chosen = small(chosen, n_languages * texts_per_language)
-    sample = labelled.join(chosen, ["lang", "id"], "left_semi").select("lang", "text")
-    grams = sample.repartition(F.xxhash64("text")).mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    every = Window.partitionBy("lang")
-    grams = grams.withColumn("f", F.col("n") / F.sum("n").over(every)).where("n > 1")
-    grams = grams.withColumn("top", F.max("f").over(Window.partitionBy("gram"))).where(F.col("f") >= LEAST_SHARE * F.col("top"))
+    sample = labelled.join(chosen, ["lang", "id"], "left_semi")
+    # dealt by id: copies of one text do not meet in one task
+    grams = sample.repartition(F.xxhash64("id")).select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    every = grams.groupBy("lang").agg(F.sum("n").alias("all"))
+    grams = grams.where("n > 1").join(small(every, n_languages), "lang").withColumn("f", F.col("n") / F.col("all"))
+    grams = grams.withColumn("top", F.max("f").over(Window.partitionBy("gram"))).where(F.col("f") >= LEAST_SHARE * F.col("top"))  # a row a language
     ranked = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams_per_language)
     found = ranked.select("lang", "gram").toPandas()
     groups = {lang: g.to_numpy(np.int64).view(np.uint64) for lang, g in found.groupby("lang")["gram"]}
