@@ -251,7 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     short = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(id_col).alias("id"))
     order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(13)), "id")
-    chosen = known.join(short, "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("label") == 1, bounds[0]).otherwise(bounds[1]))
+    # the literal bound lets each task cut its own rows before the shuffle
+    chosen = known.join(short, "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(bounds)).where(F.col("r") <= F.when(F.col("label") == 1, bounds[0]).otherwise(bounds[1]))
     chosen = chosen.select(F.col("id").alias("__id"), "label", "r")  # bounds[0] + bounds[1] rows
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").orderBy("r", "label", "__id").select("text", "label").toPandas()
     return fit(found["text"].tolist(), found["label"].tolist(), **how)
