@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from quern.llm.shared import BROADCAST_ROWS, Workspace, n_words, small
 
 BLOCK = 64
+#: Repeats of a row come in runs of so many.
+REPEATS = 10_000
 
 
 def source_targets(units: DataFrame, weights, share: float, cap: float) -> DataFrame:
@@ -137,12 +139,18 @@ def mix(
     for part in [*settled, last]:
         decided = decided.unionByName(part)
     out = decided.join(targets.select(F.col("source").alias("s"), "source_size", "target", "base"), F.col("source").eqNullSafe(F.col("s")))
-    out = out.withColumn("copies", F.col("base") + F.col("up")).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("mult").cast("int"))))
+    # a row for each repeat, in runs, so that no array follows a unit's repeats
+    out = out.withColumn("copies", F.col("base") + F.col("up")).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("mult") - 1) / REPEATS))))
+    out = out.withColumn("again", F.explode(F.sequence(F.lit(1), F.least(F.lit(REPEATS), F.col("mult") - F.col("run") * REPEATS).cast("int"))))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mixed corpus: each row of ``docs``, all its columns, as often as it is taken."""
+    """The mixed corpus: each row of ``docs``, all its columns, as often as it is taken.
+
+    Rows that agree in id, source and size are taken equally often, whatever their other columns.  Null ids,
+    sources and texts are values as in ``mix``; a text without words is taken as its source's rate
+    says.  The columns of the mix do not clash with those of ``docs``.  An empty table stays empty."""
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     plan = plan.select(F.col(id_col).alias("__mix_id"), F.col(source_col).alias("__mix_source"), F.col("size").alias("__mix_size"), F.col("copies").alias("__mix_copies")).where("__mix_copies > 0").distinct()
     sized = docs.withColumn("__mix_n", n_words(F.col(text_col)))
