@@ -22,7 +22,10 @@ LEAST_LANGUAGE_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the filters recognise; null texts and texts without letters go."""
+    """Documents whose language the filters recognise; null and empty texts and texts without letters go.
+
+    Labels that are null teach nothing.  Repeated rows fare alike.  Without labelled texts nothing is
+    recognised and the result is empty, as it is of an empty table."""
     filters = train(docs.where(F.coalesce(fold_of(F.col("doc_id"), 4) != 2, F.lit(False))))
     if not filters.languages:
         return docs.where(F.lit(False))
@@ -30,25 +33,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; n_chars follows the text."""
+    """All documents, without the boilerplate lines of their source; n_chars follows the text.
+
+    A null source is a source of its own; null and empty texts stay; a text all of whose lines are
+    boilerplate stays as an empty one; a repeated row counts as another page."""
     out = drop_boilerplate(docs, text_col="text", host_col="source")
     changed = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group whose texts are alike to 80 %."""
+    """The document of smallest id of each group whose texts are alike to 80 %.
+
+    Texts without words, rows with a null id and ids with several texts are groups of their own; all rows of a kept
+    id stay.  An empty table stays empty."""
     kept = near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Null ids, sources and texts are values like others; sources rank by code points, null last."""
     return apply_mix(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with the byte spans of their pieces, and whether decoding gives the text back."""
+    """Token ids with the byte spans of their pieces, and whether decoding gives the text back.
+
+    A null text is empty and has the end id alone.  Repeated rows get equal ids; an empty table stays empty."""
     path = tokenizer_path()
     out = encode(docs.select("doc_id", "lang", "source", "text"), path, decoded=True)
     return out.select(
