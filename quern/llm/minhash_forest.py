@@ -42,7 +42,7 @@ CROWD = 64
 #: Chance that two sets at the threshold share no run, and that their bytes hide a link: so many deviations.
 MISS, DEVIATIONS = 2e-5, 4.5
 #: Sets, and shingles, of a block; a task holds two blocks.
-BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: A class of so many copies is a hot key of the last join.
 HOT_COPIES = 100_000
 

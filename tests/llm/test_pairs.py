@@ -3,9 +3,10 @@
 import collections
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import pivot_dedup, projected_search
+from quern.llm import minhash_forest, pivot_dedup, projected_search
 from quern.llm.minhash_forest import near_duplicates
 
 
@@ -25,7 +26,9 @@ def _shingles(text):
     return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
 
 
-def test_minhash_loses_no_link_of_dense_templates(spark):
+@pytest.mark.parametrize("block", [1024, 100])
+def test_minhash_loses_no_link_of_dense_templates(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_forest, "BLOCK", block)
     rng = np.random.default_rng(1)
     base = [f"t{i}" for i in range(200)]
     texts = []
