@@ -66,8 +66,8 @@ def multi_search(collections: dict[str, Collection], patterns: list[str], node:
     for name in names:
         c = collections[name]
         try:
-            page = search(c, node, limit=limit + offset).select(F.col(c.id_col).cast("string").alias("id"), "score")
-            parts.append(ranked(page).select(F.lit(name).alias("_collection"), "id", (1.0 / (k + F.col("rank"))).alias("score")))
+            page = search(c, node, limit=limit + offset).select(F.col(c.id_col).alias("id"), "score")
+            parts.append(ranked(page).select(F.lit(name).alias("_collection"), F.col("id").cast("string").alias("id"), (1.0 / (k + F.col("rank"))).alias("score")))
         except QueryError as e:
             errors[name] = str(e)
     if not parts:

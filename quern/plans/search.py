@@ -283,15 +283,11 @@ class IndexCompiler(Compiler):
 
     def count_phrase(self, f: str, words: list[str]) -> tuple[Column, Column]:
         places = [self._need(("places", f, w), F.max(F.when(self._of(f, w), F.col("places")))) for w in words]
-        follows = lambda p: [F.array_contains(x, p + k) for k, x in enumerate(places) if k]
-
-        def starts(p: Column) -> Column:
-            out = F.lit(True)
-            for x in follows(p):
-                out = out & x
-            return out
-
-        tf = F.coalesce(F.size(F.filter(places[0], starts)), F.lit(0))
+        starts = places[0]
+        back = lambda k: lambda p: p - k
+        for k, x in enumerate(places[1:], 1):
+            starts = F.array_intersect(starts, F.transform(x, back(k)))
+        tf = F.coalesce(F.size(starts), F.lit(0))
         for x in places:
             tf = F.when(x.isNotNull(), tf).otherwise(0)
         return tf > 0, tf.cast("double")

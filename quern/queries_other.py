@@ -50,7 +50,7 @@ for m in _scores:
     add(f"knn_{m}", _knn(m), _round_sql(_knn_sql(m)))
 add("vector_scores", lambda s, d: read(s, d, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), F.array(*[F.lit(x) for x in PROBE])), 6).alias("score")), f"SELECT vec_id, round({_scores['cosine']}, 6) AS score FROM embeddings")
 _bytes = "list_transform(range(0, 32), lambda i: ('0x' || sha256(w)[2 * i + 1:2 * i + 2])::INT / 255.0::DOUBLE)"
-add("text_to_vector", lambda s, d: embed(read(s, d, "benchmark").select("item_id", F.regexp_extract("text", r"^\S+", 0).alias("text")), "text", "v").select("item_id", F.size("v").alias("dims"), F.array_join(F.transform("v", lambda x: F.format_number(x, 4)), " ").alias("v")), f"""
+add("text_to_vector", lambda s, d: embed(read(s, d, "benchmark").select("item_id", F.regexp_extract("text", r"^\S+", 0).alias("text")), "text", "v").select("item_id", F.size("v").alias("dims"), F.array_join(F.transform("v", lambda x: F.format_number(x, 4)), " ").alias("v")), rf"""
 SELECT item_id, 32 AS dims, array_to_string(list_transform(v, lambda x: format('{{:.4f}}', x / sqrt(list_sum(list_transform(v, lambda y: y * y))))), ' ') AS v
 FROM (SELECT item_id, list_transform(range(0, 32), lambda i: b[i + 1] * (1 + 0.0001::DOUBLE * i)) AS v FROM (SELECT item_id, {_bytes} AS b FROM (SELECT item_id, regexp_extract(text, '^\S+') AS w FROM benchmark)))""")
 add("text_vector_search", lambda s, d: text_search(embed(read(s, d, "benchmark"), "text", "v"), read(s, d, "benchmark").where("item_id = 3").first()["text"], id_col="item_id", vector_col="v", k=1).select("id", F.round("score", 6).alias("score")), "SELECT item_id AS id, 1.0::DOUBLE AS score FROM benchmark WHERE item_id = 3")

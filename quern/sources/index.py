@@ -58,6 +58,9 @@ class Index:
     total: dict[str, int] | None = None
     segments: tuple[int, ...] = ()
 
+    def __post_init__(self):
+        self._tables: dict[tuple, DataFrame] = {}
+
     # --- writing
 
     @classmethod
@@ -111,6 +114,7 @@ class Index:
 
     def refresh(self) -> Index:
         """This index as it now is on storage."""
+        self._tables = {}
         log = self.spark.read.option("basePath", f"{self.path}/log").parquet(f"{self.path}/log").orderBy("seg").collect()  # a row a segment
         self.segments = tuple(r["seg"] for r in log)
         self._full = [r["seg"] for r in log if r["rows"]]
@@ -124,11 +128,15 @@ class Index:
         return self
 
     def _read(self, kind: str, numbers: list[int]) -> DataFrame:
+        key = (kind, *numbers)
+        if key in self._tables:  # files are listed once
+            return self._tables[key]
         reader = self.spark.read.option("basePath", f"{self.path}/{kind}")
         if kind == "postings":  # a segment without tokens has no file to tell the schema
             ids = self.spark.read.parquet(f"{self.path}/lengths/seg={numbers[0]}").schema["id"].dataType.simpleString()
             reader = reader.schema(f"term string, id {ids}, tf int, dl int, places array<int>, seg int, field string")
-        return reader.parquet(*[f"{self.path}/{kind}/seg={k}" for k in numbers])
+        self._tables[key] = reader.parquet(*[f"{self.path}/{kind}/seg={k}" for k in numbers])
+        return self._tables[key]
 
     def _live(self, df: DataFrame) -> DataFrame:
         if self._dead is None:
