@@ -43,34 +43,43 @@ ANALYZERS = {"default": default_tokens, "raw": raw_tokens, "code": code_tokens,
 
 
 def analyzer(name: str):
-    """By name; language-specific code analyzers fall back to ``code``."""
-    if name.startswith("code-treesitter"):
-        name = "code"
+    """By name; ``code-treesitter-python`` and its like cut a text by that language's comments, strings and
+    keywords, and fall back to ``code`` for a language that is not known."""
+    if name.startswith("code-treesitter-"):
+        from quern.functions.code import LANGUAGES, syntax_tokens
+
+        language = name.removeprefix("code-treesitter-")
+        return (lambda c: syntax_tokens(c, language)) if language in LANGUAGES else code_tokens
     if name not in ANALYZERS:
         raise ValueError(f"unknown analyzer: {name}")
     return ANALYZERS[name]
 
 
-#: Language by file extension.
+#: Language by file extension.
 EXTENSIONS = {
-    "rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "java": "java",
-    "rb": "ruby", "sh": "bash", "html": "html", "css": "css", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "sql": "sql",
+    "rs": "rust", "py": "python", "pyw": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "go": "go", "c": "c", "h": "c",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "hh": "cpp", "rb": "ruby", "rake": "ruby", "gemspec": "ruby",
+    "ex": "elixir", "exs": "elixir", "erl": "erlang", "hrl": "erlang", "sh": "bash", "bash": "bash", "zsh": "bash",
+    "yaml": "yaml", "yml": "yaml", "toml": "toml", "json": "json", "jsonl": "json", "html": "html", "htm": "html", "sql": "sql", "ddl": "sql", "dml": "sql",
+    "java": "java", "css": "css",
 }
+#: Language by a mark in the content; the first that is found decides.
+MARKS = [
+    ("python", r"\A#![^\n]*python"), ("ruby", r"\A#![^\n]*ruby"), ("elixir", r"\A#![^\n]*elixir"), ("erlang", r"\A#![^\n]*escript"), ("bash", r"\A#![^\n]*\b(?:ba|z)?sh\b"),
+    ("elixir", r"(?m)^\s*defmodule\s+[A-Z]"), ("erlang", r"(?m)^-module\("), ("cpp", r"(?m)^\s*(?:using\s+namespace|template\s*<|#include\s*<[a-z_]+>)"), ("c", r"(?m)^\s*#include\s*[<\"]"),
+    ("rust", r"(?m)^\s*(?:pub\s+)?fn\s+\w+"), ("python", r"(?m)^\s*def\s+\w+\(.*\):"), ("go", r"(?m)^package\s+\w+\s*$"),
+    ("typescript", r"(?m)^\s*(?:export\s+)?(?:interface\s+\w+\s*\{|type\s+\w+\s*=)"), ("javascript", r"(?m)^\s*(?:(?:async\s+)?function\s+\w+\s*\(|(?:const|let|var)\s+\w+\s*=)"),
+    ("ruby", r"(?m)^\s*(?:require\s+['\"]|def\s+\w+[?!]?\s*(?:\(.*\))?\s*$)"), ("sql", r"(?i)\A\s*(?:select|insert\s+into|create\s+table)\s"), ("html", r"(?i)<html"),
+    ("json", r"\A\s*[\[{]\s*[\"\]}\[{]"), ("toml", r"(?m)\A(?:\s|#[^\n]*\n)*\[[\w.-]+\]\s*$"), ("yaml", r"(?m)\A---\s*$"),
+]
 
 
 def code_language(path: Column, content: Column | None = None) -> Column:
     """By extension, else by marks in the content, else null."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     by_ext = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[ext]
-    if content is None:
-        return by_ext
-    by_content = (
-        F.when(content.rlike(r"^#!.*\b(?:ba)?sh\b"), "bash").when(content.rlike(r"^#!.*\bpython"), "python")
-        .when(content.rlike(r"(?m)^\s*(?:pub\s+)?fn\s+\w+"), "rust").when(content.rlike(r"(?m)^\s*def\s+\w+\(.*\):"), "python")
-        .when(content.rlike(r"(?m)^package\s+\w+\s*$"), "go").when(content.rlike(r"(?i)^\s*select\s"), "sql")
-        .when(content.rlike(r"(?i)<html"), "html")
-    )
-    return F.coalesce(by_ext, by_content)
+    return by_ext if content is None else F.coalesce(by_ext, *[F.when(content.rlike(mark), name) for name, mark in MARKS])
 
 
 def html_strip(c: Column) -> Column:

@@ -164,3 +164,22 @@ class Index:
         fields = fields or list(self.fields)
         rows = self.terms(F.col("field").isin(fields))
         return rows.select("term", F.col("df").alias("doc_freq")) if len(fields) == 1 else rows.groupBy("term").agg(F.sum("df").alias("doc_freq"))
+
+    def segment_stats(self) -> DataFrame:
+        """(seg, doc_count, deleted_count, delete_ratio, size_bytes) of every segment that holds documents; the size is
+        that of its files."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        sizes = []
+        for k in self._full:  # one look at the folder a segment and kind
+            folders = [jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/seg={k}") for kind in ("postings", "terms", "lengths")]
+            sizes.append((k, sum(f.getFileSystem(conf).getContentSummary(f).getLength() for f in folders)))
+        rows = self._read("lengths", self._full).where(F.col("field") == min(self.fields)).select("seg", "id")  # every document has a row a field
+        if self._dead is None:
+            rows = rows.withColumn("gone", F.lit(0))
+        else:
+            dead = F.broadcast(self._dead) if self._dead_small else self._dead
+            rows = rows.join(dead, "id", "left").withColumn("gone", F.coalesce((F.col("seg") <= F.col("upto")).cast("int"), F.lit(0)))
+        counts = rows.groupBy("seg").agg(F.sum(1 - F.col("gone")).alias("doc_count"), F.sum("gone").alias("deleted_count"))
+        table = self.spark.createDataFrame(sizes, "seg int, size_bytes long").join(counts, "seg", "left").na.fill(0, ["doc_count", "deleted_count"])
+        ratio = F.coalesce(F.col("deleted_count") / F.nullif(F.col("doc_count") + F.col("deleted_count"), F.lit(0)), F.lit(0.0))
+        return table.select("seg", "doc_count", "deleted_count", ratio.alias("delete_ratio"), "size_bytes")
