@@ -11,7 +11,7 @@ from quern.operators import suggest as sg
 from quern.plans import es, lucene
 from quern.plans.ast import MatchAll, Not, Or, Term, Wildcard
 from quern.plans.search import Collection, hits, search, simple_search, total
-from quern.sources import context
+from quern.sources import context, migrate
 from quern.sources.index import Index, postings_of
 from quern.sources.storage import new_path
 
@@ -164,6 +164,27 @@ def _changed(s, d) -> DataFrame:
 
 add("index_upsert_delete", _changed, f"WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'the thing itself' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0) SELECT * REPLACE (round(score, 6) AS score) FROM ({_sql([W1], 'tf0 > 0', 'e0', table='changed')})")
 
+def _segments(s, d) -> DataFrame:
+    rows = read(s, d, "documents")
+    index = Index.build(rows, "doc_id", {"text": "default"}, new_path(s, "index-segments"))
+    index.upsert(rows.where("doc_id % 5 = 0"), "doc_id").delete(rows.where("doc_id % 7 = 0"), "doc_id")
+    return index.segment_stats().select("seg", "doc_count", "deleted_count", F.round("delete_ratio", 6).alias("delete_ratio"))
+
+
+add("segment_stats", _segments, """
+SELECT seg, count(*) FILTER (live) AS doc_count, count(*) FILTER (NOT live) AS deleted_count, round(count(*) FILTER (NOT live) / count(*)::DOUBLE, 6) AS delete_ratio
+FROM (SELECT 0 AS seg, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS live FROM documents UNION ALL SELECT 1, doc_id % 7 <> 0 FROM documents WHERE doc_id % 5 = 0) GROUP BY seg""")
+
+
+def _migrated(s, d) -> DataFrame:
+    old = read(s, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+    path = new_path(s, "lines")
+    migrate.export_jsonl(old, path)
+    return migrate.import_jsonl(s, path, migrate.schema_of("documents", old, "doc_id"), "doc_id").select("doc_id", F.md5("text").alias("text"), "lang", "source", "n_chars")
+
+
+add("migrate_jsonl", _migrated, "SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text, lang, source, n_chars FROM documents")
+
 # tokenizers
 add("default_tokens", lambda s, d: read(s, d, "documents").select("doc_id", F.array_join(default_tokens(F.col("text")), " ").alias("tokens")), f"SELECT doc_id, array_to_string({TOKENS.format(c='text')}, ' ') AS tokens FROM documents")
 add("raw_tokens", lambda s, d: read(s, d, "documents").select("doc_id", F.array_join(text_functions.raw_tokens(F.col("source")), " ").alias("tokens")), "SELECT doc_id, source AS tokens FROM documents")

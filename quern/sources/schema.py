@@ -16,6 +16,7 @@ MAPPED = {
     "unsigned_long": "u64", "double": "f64", "float": "f64", "half_float": "f64", "scaled_float": "f64", "boolean": "bool", "date": "date", "date_nanos": "date",
     "binary": "bytes", "dense_vector": "vector", "object": "json", "nested": "json", "flattened": "json",
 }
+FACET_TYPES = ("terms", "date_histogram", "range", "stats")
 
 
 @dataclass
@@ -36,6 +37,7 @@ class Schema:
     metric: str = "cosine"
     hybrid: dict = field(default_factory=lambda: {"strategy": "rrf", "rrf_k": 60, "text_weight": 0.5, "vector_weight": 0.5, "normalization": "max_norm"})
     boosting: dict = field(default_factory=dict)
+    facets: dict = field(default_factory=dict)
     indexed_at: bool = True
     boost_field: bool = False
     k1: float = 1.2
@@ -51,6 +53,7 @@ class Schema:
         out = cls(d.get("collection", d.get("name", "")), fields, vector.get("embedding_field"), int(vector.get("dimension", 0)), vector.get("distance", "cosine"), indexed_at=system.get("indexed_at", True), boost_field=system.get("document_boost", False))
         out.hybrid |= {k: v for k, v in (d.get("hybrid") or {}).items()}
         out.boosting = d.get("boosting") or {}
+        out.facets = d.get("facets") or {}
         out.k1, out.b = float(text.get("bm25_k1") or 1.2), float(text.get("bm25_b") or 0.75)
         return out
 
@@ -69,6 +72,11 @@ class Schema:
         for k in ("text_weight", "vector_weight"):
             if not 0 <= float(self.hybrid.get(k, 0.5)) <= 1:
                 out.append(f"{k} is not in 0..1")
+        for c in self.facets.get("configs", []):
+            if c.get("type", "terms") not in FACET_TYPES:
+                out.append(f"unknown facet type {c['type']} of {c['field']}")
+        allowed = self.facets.get("allowed", [])
+        out += [f"the default facet {x} is not allowed" for x in self.facets.get("default", []) if allowed and x not in allowed]
         if self.fields and not any(f.type == "text" for f in self.fields):
             out.append("no text field")
         return out
@@ -89,3 +97,8 @@ class Schema:
     def text_fields(self) -> dict[str, str]:
         """Searched by default: indexed texts and keywords, and the id."""
         return {f.name: f.analyzer if f.type == "text" else "raw" for f in self.fields if f.type in ("text", "string") and f.indexed}
+
+    def facet_specs(self, names: list[str] | None = None) -> dict[str, dict]:
+        """What ``aggregations.facets`` takes: the named facets, or the schema's default ones, each as its field is configured."""
+        known = {c["field"]: {k: v for k, v in c.items() if k != "field" and v is not None} for c in self.facets.get("configs", [])}
+        return {n: known.get(n, {}) for n in (self.facets.get("default", []) if names is None else names)}

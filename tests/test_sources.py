@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from quern.functions.code import LANGUAGES, syntax_tokens
 from quern.functions.text import analyzer, code_language
+from quern.operators.aggregations import facets
 from quern.plans.ast import QueryError
+from quern.plans.search import Collection
 from quern.sources import migrate, remote
 from quern.sources.index import Index
+from quern.sources.schema import Schema
 
 DOCS = {f"d{i}": {"title": f"title {i}", "n": i, "odd": {"a": i}} for i in range(107)}
 
@@ -141,3 +144,18 @@ def test_code_language(spark):
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, p string, t string, want string")
     for r in rows.select("want", code_language(F.col("p"), F.col("t")).alias("got"), "t").collect():
         assert r["got"] == r["want"], r
+
+
+def test_facets_of_a_schema(spark):
+    config = {"allowed": ["kind", "at"], "default": ["kind"], "configs": [{"field": "kind", "type": "terms", "size": 1}, {"field": "at", "type": "date_histogram", "interval": "month"}]}
+    schema = Schema.parse({"collection": "x", "facets": config})
+    assert schema.lint() == [] and schema.facet_specs() == {"kind": {"type": "terms", "size": 1}}
+    assert schema.facet_specs(["at", "n"]) == {"at": {"type": "date_histogram", "interval": "month"}, "n": {}}
+    rows = spark.sql("SELECT * FROM VALUES (1, 'a', timestamp'2024-01-02'), (2, 'a', timestamp'2024-02-02'), (3, 'b', timestamp'2024-02-03') AS t(id, kind, at)")
+    c = Collection(rows, "id", {"kind": "raw"})
+    assert [(r["key"], r["doc_count"]) for r in facets(c, rows, schema.facet_specs(), config["allowed"])["kind"].collect()] == [("a", 2)]
+    assert sorted(r["doc_count"] for r in facets(c, rows, schema.facet_specs(["at"]))["at"].collect()) == [1, 2]
+    with pytest.raises(QueryError, match="no facet"):
+        facets(c, rows, schema.facet_specs(["n"]), config["allowed"])
+    bad = Schema.parse({"facets": {"allowed": ["a"], "default": ["b"], "configs": [{"field": "a", "type": "odd"}]}})
+    assert len(bad.lint()) == 2
