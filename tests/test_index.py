@@ -2,7 +2,9 @@
 
 import datetime
 
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quern.functions import wikitext
@@ -15,7 +17,8 @@ from quern.plans import lucene
 from quern.plans.ast import MatchAll, Not, QueryError, Term
 from quern.plans.search import Collection, hits, matches, search
 from quern.sources import catalog, collection
-from quern.sources.index import Index
+from quern.sources import index as index_module
+from quern.sources.index import Index, postings_of
 
 ROWS = [
     (1, "The quick brown fox, the fox", "a", 5), (2, "quick fox brown", "b", 3), (3, None, "a", None), (4, "", None, 7), (5, "brown the the quick", "b", 9),
@@ -232,3 +235,57 @@ def test_graph_writes_and_paths(spark, tmp_path):
         graph.shortest_path(edges.withColumn("weight", F.lit(-1.0)), "a", "c")
     graph.save(nodes, edges, str(tmp_path / "g"))
     assert graph.load(spark, str(tmp_path / "g"))[1].count() == 3
+
+
+def _text_of_places(spark, tmp_path):
+    """A table on disk with null and empty texts, tokens that are dropped and a text longer than a batch of tokens."""
+    rows = [(i, " ".join(f"w{(i * k) % 23}" for k in range(i % 40)), "en" if i % 3 else None) for i in range(400)]
+    rows += [(400, None, "fr"), (401, "", "fr"), (402, "x" * 40 + " É z é", "de"), (403, "long word " * 3000, "fr"), (None, "lost", "en")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(3)
+    df.write.parquet(str(tmp_path / "t"))
+    return spark.read.parquet(str(tmp_path / "t"))
+
+
+def _places(rows):
+    return {(r["field"], r["term"], r["id"]): (r["tf"], r["dl"], r["places"]) for r in rows}
+
+
+def _expected(df):
+    want = {}
+    for r in df.where("id is not null").collect():
+        tokens = [w for w in regex.split(r"[^\p{L}\p{N}]+", (r["text"] or "").lower()) if 0 < len(w) <= 39]
+        for field, ts in (("text", tokens), ("lang", [r["lang"]] if r["lang"] else [])):
+            for p, w in enumerate(ts):
+                want.setdefault((field, w, r["id"]), (len(ts), []))[1].append(p)
+    return {k: (len(p), dl, p) for k, (dl, p) in want.items()}
+
+
+def test_postings_are_grouped_without_an_exchange_of_tokens(spark, tmp_path, monkeypatch):
+    df = _text_of_places(spark, tmp_path)
+    fields = {"text": "default", "lang": "raw"}
+    monkeypatch.setattr(index_module, "spread", lambda df: df)
+    found = postings_of(df, "id", fields)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    rows = found.collect()
+    assert len(rows) == len(_places(rows)) and _places(rows) == _expected(df)
+
+
+def test_tokens_are_grouped_in_bounded_parts(spark):
+    ids, lists = pa.array([7, 8, 9, 10]), pa.array([["b", "a", "b"], [], ["a", None, "c"], ["a"] * 5])
+    wanted = [("text", t, i) for t, i in (("a", 7), ("b", 7), ("a", 9), ("c", 9), ("a", 10))]
+    before = index_module.TOKENS_AT_ONCE
+    try:
+        for most in (1, 3, 4, before):
+            index_module.TOKENS_AT_ONCE = most
+            batches = list(index_module._group(["text"])([pa.RecordBatch.from_arrays([ids, lists], names=["id", "t0"])]))
+            rows = [r for b in batches for r in b.to_pylist()]
+            assert _places(rows) == dict(zip(wanted, [(1, 3, [1]), (2, 3, [0, 2]), (1, 3, [0]), (1, 3, [2]), (5, 5, [0, 1, 2, 3, 4])], strict=True)), most
+    finally:
+        index_module.TOKENS_AT_ONCE = before
+
+
+def test_rows_that_share_an_id_are_one_posting(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a c d"), (2, "a")], "id long, text string")
+    rows = postings_of(df, "id", {"text": "default"}).collect()
+    assert {(r["term"], r["id"]): (r["tf"], r["places"]) for r in rows} == {("a", 1): (2, [0, 0]), ("b", 1): (1, [1]), ("c", 1): (1, [1]), ("d", 1): (1, [2]), ("a", 2): (1, [0])}
