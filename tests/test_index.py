@@ -289,3 +289,15 @@ def test_rows_that_share_an_id_are_one_posting(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a c d"), (2, "a")], "id long, text string")
     rows = postings_of(df, "id", {"text": "default"}).collect()
     assert {(r["term"], r["id"]): (r["tf"], r["places"]) for r in rows} == {("a", 1): (2, [0, 0]), ("b", 1): (1, [1]), ("c", 1): (1, [1]), ("d", 1): (1, [2]), ("a", 2): (1, [0])}
+
+
+@pytest.mark.parametrize("text", ["", "kind:*", "n:[2 TO 7]", "kind:a", "*", "id:2 OR id:7"])
+def test_queries_of_documents_alone_do_not_build_the_index(both, text):
+    def build():
+        raise AssertionError("built")
+
+    scan, indexed = both
+    c = Collection(indexed.df, "id", indexed.text_fields, index=index_module.Deferred(build))
+    assert _rows(hits(c, lucene.parse(text))) == _rows(hits(scan, lucene.parse(text)))
+    built = Collection(indexed.df, "id", indexed.text_fields, index=index_module.Deferred(lambda: indexed.index))
+    assert _rows(hits(built, lucene.parse("fox"))) == _rows(hits(scan, lucene.parse("fox")))
