@@ -301,3 +301,20 @@ def test_queries_of_documents_alone_do_not_build_the_index(both, text):
     assert _rows(hits(c, lucene.parse(text))) == _rows(hits(scan, lucene.parse(text)))
     built = Collection(indexed.df, "id", indexed.text_fields, index=index_module.Deferred(lambda: indexed.index))
     assert _rows(hits(built, lucene.parse("fox"))) == _rows(hits(scan, lucene.parse("fox")))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ranges_of_postings_hold_every_posting_in_order(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(index_module, "FEWEST_TOKENS", 8)
+    monkeypatch.setattr(index_module, "TOKENS_A_PART", 300)
+    monkeypatch.setattr(index_module, "SAMPLE_ROWS", 90)
+    df = _text_of_places(spark, tmp_path)
+    want = _expected(df.withColumn("id", F.col("id").cast(kind)))
+    df = df.withColumn("id", F.col("id").cast(kind))
+    index = Index.build(df, "id", {"text": "default", "lang": "raw"}, str(tmp_path / "i"))
+    assert _places(index.postings().collect()) == want and index.postings().count() == len(want)
+    ordered = index_module.ordered_postings(df, "id", {"text": "default", "lang": "raw"}, index.lengths())
+    assert "RangePartitioning" not in ordered._jdf.queryExecution().executedPlan().toString().replace("rangepartitioning", "RangePartitioning")
+    rows = [(r["p"], r["field"], r["term"], r["id"]) for r in ordered.select(F.spark_partition_id().alias("p"), *index_module.ORDER).collect()]
+    assert [r[1:] for r in sorted(rows)] == sorted(want) and len({r[0] for r in rows}) > 10
+    assert len({r[0] for r in rows if r[2] == "w0"}) > 1  # a frequent word is split by id
