@@ -318,3 +318,48 @@ def test_ranges_of_postings_hold_every_posting_in_order(spark, tmp_path, monkeyp
     rows = [(r["p"], r["field"], r["term"], r["id"]) for r in ordered.select(F.spark_partition_id().alias("p"), *index_module.ORDER).collect()]
     assert [r[1:] for r in sorted(rows)] == sorted(want) and len({r[0] for r in rows}) > 10
     assert len({r[0] for r in rows if r[2] == "w0"}) > 1  # a frequent word is split by id
+
+
+def test_a_query_of_one_field_builds_that_field_alone(both):
+    def build():
+        raise AssertionError("built")
+
+    scan, indexed = both
+    parts = {"code": index_module.Deferred(lambda: indexed.index), "text": index_module.Deferred(build)}
+    c = Collection(indexed.df, "id", indexed.text_fields, index=index_module.Deferred(build, parts))
+    assert _rows(hits(c, Term("fox"), ["code"])) == _rows(hits(scan, Term("fox"), ["code"])) != []
+    with pytest.raises(AssertionError):
+        hits(c, Term("fox"))
+
+
+@pytest.mark.parametrize("kind", ["long", "smallint", "string", "double"])
+@pytest.mark.parametrize("fields", [{"text": "default"}, {"text": "default", "lang": "raw"}])
+def test_few_rows_hold_all_postings(spark, tmp_path, kind, fields):
+    df = _text_of_places(spark, tmp_path)
+    df = df.withColumn("id", F.col("id").cast(kind)).orderBy(F.desc("text"))  # ids do not ascend in a batch
+    want = {k: v for k, v in _expected(df).items() if k[0] in fields}
+    sizes = {(r["id"], f) for r in df.where("id is not null").collect() for f in fields}
+    index = Index.build(df, "id", fields, str(tmp_path / "i"))
+    packed = index.compact(str(tmp_path / "c"))
+    for x in (index, packed):
+        stored = spark.read.parquet(f"{x.path}/postings/seg=0")
+        assert 0 < stored.where("term is not null").count() < len(want) / 5
+        assert _places(x.postings().collect()) == want and x.postings().count() == len(want)
+        assert x.postings(F.col("term") == "w0", places=False).count() == len([k for k in want if k[1] == "w0"])
+        lengths = {(r["id"], r["field"]): r["dl"] for r in x.lengths().collect()}
+        assert set(lengths) == sizes and all(lengths[i, f] == dl for (f, _, i), (_, dl, _) in want.items())
+        assert {(r["field"], r["term"]): (r["df"], r["cf"]) for r in x.terms().collect()} == {k: (sum(1 for q in want if q[:2] == k), sum(v[0] for q, v in want.items() if q[:2] == k)) for k in {q[:2] for q in want}}
+
+
+def test_blocks_of_parts_that_do_not_ascend_with_the_rows():
+    bounds = [("text", "a", 5), ("text", "b", 1)]
+    rows = pa.RecordBatch.from_arrays([pa.array([7, 3, 6, 1]), pa.array([["a", "b", "a"], ["a"], ["b", "a"], []], pa.list_(pa.string()))], names=["id", "t0"])
+    blocks = pa.Table.from_batches(index_module._block(["text"], bounds)([rows])).to_pylist()
+    own = {(b["term"], b["part"]): b for b in blocks if b["term"] is not None}
+    assert {k: (b["n"], b["cf"]) for k, b in own.items()} == {("a", 0): (1, 1), ("a", 1): (2, 3), ("b", 2): (2, 2)}
+    table = pa.Table.from_pylist([own[k] for k in sorted(own)]).select(["n", "docs", "ids", "places", "term"]).combine_chunks().to_batches()
+    schema = pa.schema([("n", pa.int32()), ("docs", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("term", pa.string())])
+    out = [r for b in index_module._unpack(1, pa.int64(), True)([t.cast(schema) for t in table]) for r in b.to_pylist()]
+    assert sorted(tuple(r.values()) for r in out) == [("a", 3, 1, 1, [0]), ("a", 6, 1, 2, [1]), ("a", 7, 2, 3, [0, 2]), ("b", 6, 1, 2, [0]), ("b", 7, 1, 3, [1])]
+    (none,) = [b for b in blocks if b["term"] is None]
+    assert none["n"] == 4 and none["cf"] == 0 and 0 <= none["part"] < 3
