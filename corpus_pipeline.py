@@ -63,11 +63,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null text is empty and has the end id alone.  Repeated rows get equal ids; an empty table stays empty."""
     path = tokenizer_path()
-    out = encode(docs.select("doc_id", "lang", "source", "text"), path, decoded=True)
-    return out.select(
-        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    out = encode(docs.select("doc_id", "lang", "source", "text"), path, round_trip=True)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends", "round_trip")
 
 
 STAGES = [

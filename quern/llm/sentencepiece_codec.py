@@ -17,14 +17,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.batch_merge import BatchMerger
 from quern.llm.piece_model import BYTE, CONTROL, INVALID, SPACE, UNKNOWN, UNUSED, USER_DEFINED, Normalizer, PieceModel
+from quern.llm.shared import trim
 
 #: A worker remembers so many chunks of up to REMEMBERED_LENGTH characters, then starts anew.
-REMEMBERED, REMEMBERED_LENGTH = 250_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 100_000, 64
+#: So many texts and bytes of them are encoded at once (a longer text on its own): arrays are longer than texts.
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 200, 1 << 19
 _NEVER = float("inf")
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -269,33 +273,47 @@ def _plain_places(text: str) -> np.ndarray:
     return np.concatenate(([0, 0, 0], np.repeat(np.arange(data.size), width), [data.size]))
 
 
-def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", eos: bool = True, decoded: bool = False) -> DataFrame:
+def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of these sizes that are encoded at once."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE, "right"))
+        to = max(at + 1, min(most, at + TEXTS_AT_ONCE))
+        yield at, to
+        at = to
+
+
+def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", eos: bool = True, decoded: bool = False, round_trip: bool = False) -> DataFrame:
     """``docs`` with ``ids``, ``starts``, ``ends`` (arrays; byte spans of the source text) in place of
-    columns so named; with ``decoded`` also the text that the ids decode to, in the same pass.
+    columns so named; with ``decoded`` also the text that the ids decode to, in the same pass, and with ``round_trip``
+    whether that is the text, which then doesn't come back (null counts as empty).
 
     A null or empty text has the end id alone.  Repeated rows get equal results; an empty table gives
     an empty result.  ``model_path`` is a file that every executor has."""
 
-    new = ["ids", "starts", "ends", *(["decoded"] if decoded else [])]
+    new = ["ids", "starts", "ends", *(["decoded"] if decoded else []), *(["round_trip"] if round_trip else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model_path)
         for batch in batches:
             texts = batch.column(0)
-            for at in range(0, len(texts), 500):  # arrays are longer than texts: small batches
-                some = texts.slice(at, 500).to_pylist()
+            for at, to in _cuts(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+                some = texts.slice(at, to - at).to_pylist()
                 codec.learn(some)
                 found = [codec.encode(t, eos) for t in some]
                 n = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
-                flat = [np.concatenate([x[k] for x in found]) for k in range(3)]
-                rest = [c.slice(at, 500) for c in batch.columns[1:]]
-                texts_back = [pa.array([codec.decode(x[0]) for x in found], pa.string())] if decoded else []
-                arrays = [pa.ListArray.from_arrays(n, pa.array(f.astype(np.int32), pa.int32())) for f in flat]
-                yield pa.RecordBatch.from_arrays([*rest, *arrays, *texts_back], names=[*[f"c{i}" for i in range(len(rest))], *new])
-
-    kept = [f for f in docs.schema.fields if f.name not in new]
+                arrays = [pa.ListArray.from_arrays(n, pa.array(np.concatenate([x[k] for x in found]).astype(np.int32, copy=False), pa.int32())) for k in range(3)]
+                back = [codec.decode(x[0]) for x in found] if decoded or round_trip else []
+                more = [pa.array(back, pa.string())] if decoded else []
+                more += [pa.array([x == (t or "") for x, t in zip(back, some)], pa.bool_())] if round_trip else []
+                del found, back
+                rest = [c.slice(at, to - at) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*rest, *arrays, *more], names=[*[f"c{i}" for i in range(len(rest))], *new])
+                trim()
+
+    kept = [f for f in docs.schema.fields if f.name not in new and not (round_trip and f.name == text_col)]
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])
-    schema = ", ".join([*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)], "ids array<int>, starts array<int>, ends array<int>", *(["decoded string"] if decoded else [])])
+    schema = ", ".join([*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)], "ids array<int>, starts array<int>, ends array<int>", *(["decoded string"] if decoded else []), *(["round_trip boolean"] if round_trip else [])])
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)], *new)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -85,6 +86,17 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> Dat
     return out if head is None else out.unionByName(head.select(*rows.columns, *names))
 
 
+def trim() -> None:
+    """Gives memory that is free in this worker back: workers of all cores share what an executor may take."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of bytes other than ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -109,3 +109,20 @@ def test_batched_merges_agree_with_single_ones():
     assert len(many._known) > 500
     for chunk, ids in many._known.items():
         assert one._chunk(chunk) == ids, chunk
+
+
+def test_round_trip_is_told_without_the_text(spark, monkeypatch):
+    from quern.llm import sentencepiece_codec
+    from quern.llm.queries import tokenizer_path
+    from quern.llm.sentencepiece_codec import _cuts, encode
+
+    docs = spark.createDataFrame([(1, "two  words\n"), (2, None), (3, ""), (4, "� á \U0001f600"), (5, " lead")], "doc_id long, text string")
+    both = {r["doc_id"]: r for r in encode(docs, tokenizer_path(), decoded=True).collect()}
+    told = encode(docs, tokenizer_path(), round_trip=True)
+    assert told.columns == ["doc_id", "ids", "starts", "ends", "round_trip"]
+    for r in told.collect():
+        b = both[r["doc_id"]]
+        assert (r["ids"], r["starts"], r["ends"], r["round_trip"]) == (b["ids"], b["starts"], b["ends"], b["decoded"] == (b["text"] or ""))
+    monkeypatch.setattr(sentencepiece_codec, "BYTES_AT_ONCE", 10)
+    monkeypatch.setattr(sentencepiece_codec, "TEXTS_AT_ONCE", 3)
+    assert list(_cuts([0, 0, 0, 0, 30, 4, 6, 1])) == [(0, 3), (3, 4), (4, 5), (5, 7), (7, 8)] and not list(_cuts([]))
